@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, ogg_media, shards, url_cascade
+from tallyloom.llm import byte_bpe, language_id, ogg_media, quality_knn, shards, simhash_dedup, url_cascade
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed values of the url query.
@@ -55,6 +55,20 @@ FROM fit WHERE n = 1
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -79,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op8_sharding": op8_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": _OP3_SQL, "op8_sharding": _OP8_SQL}
