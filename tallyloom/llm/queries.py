@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, language_id, ogg_media, quality_knn, shards, simhash_dedup, url_cascade
+from tallyloom.llm import byte_bpe, decontaminate, language_id, ogg_media, quality_knn, shards, simhash_dedup, url_cascade
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed values of the url query.
@@ -69,6 +69,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), decontaminate.indexes(_table(spark, sf_dir, "benchmark")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": _OP3_SQL, "op8_sharding": _OP8_SQL}
