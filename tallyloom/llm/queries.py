@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, decontaminate, language_id, ogg_media, quality_knn, shards, simhash_dedup, url_cascade
+from tallyloom.llm import byte_bpe, decontaminate, language_id, ogg_media, quality_knn, secrets, shards, simhash_dedup, url_cascade
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed values of the url query.
@@ -93,6 +93,12 @@ SELECT doc_id, bytes, depth || ':' || lpad(CASE WHEN depth = 0 THEN '' ELSE bin(
 FROM fit WHERE n = 1
 """
 
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_byte_bpe": op2_byte_bpe,
@@ -102,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_secret_scan": op9_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": _OP3_SQL, "op8_sharding": _OP8_SQL}
