@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_bpe, decontaminate, language_id, ogg_media, quality_knn, secrets, shards, simhash_dedup, url_cascade
+from tallyloom.llm import byte_bpe, decontaminate, language_id, ogg_media, passages, quality_knn, secrets, shards, simhash_dedup, url_cascade
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed values of the url query.
@@ -99,6 +99,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_byte_bpe": op2_byte_bpe,
@@ -109,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_secret_scan": op9_secret_scan,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": _OP3_SQL, "op8_sharding": _OP8_SQL}
