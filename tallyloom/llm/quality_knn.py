@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_map, id_and_text, in_holdout, utf8
+from tallyloom.llm.common import arrow_map, id_and_text, in_holdout, small_batches, utf8
 from tallyloom.llm.vectors import word_hashes
 
 SAMPLE = 1500
@@ -137,7 +137,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(np.stack([np.frombuffer(t, np.float32) for _, t in seen]).astype(np.float64), y, prior)
 
 
-def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each whole text."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # 2 * SAMPLE vectors and the axes: some MB
 
@@ -153,3 +153,22 @@ def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col:
 
     out = arrow_map(id_and_text(df, id_col, text_col), make, "doc_id long, score double")
     return out.select("doc_id", in_holdout(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text is predicted to be of label 1, whole and in their columns."""
+    small_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def make():
+        own = sent.value
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            texts = utf8(batch.column(at))
+            s = np.full(len(texts), own) if isinstance(own, float) else own.score(texts)
+            yield batch.filter(pa.array(s >= THRESHOLD))
+
+        return step
+
+    return arrow_map(df, make, df.schema)

@@ -86,12 +86,12 @@ def _spans(text: Column, pattern: str, kind: int, keep: str = "true", group: int
 
 
 def spans(df: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
-    """df with _text (never null), _base and _spans: the base spans, and all, in order of start and kind."""
+    """(row, _text, _base, _spans): df's columns as a struct, the text (never null), the base spans and all spans, in order of start and kind."""
     table = f"cast(split('{','.join(f'{x:.4f}' for x in model)}', ',') as array<double>)"
     odds = f"aggregate(sequence(1, length(x.val) - 1), 0D, (sum, i) -> sum + get({table}, ascii(substring(x.val, i, 1)) * 128 + ascii(substring(x.val, i + 1, 1)))) >= {THRESHOLD!r}D"
     text = F.col("_text")
     return (
-        df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
         .withColumn("_base", F.array_sort(F.concat(_spans(text, ASSIGN, 0, f"length(x.val) >= {ASSIGN_LEAST}", 1), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
         .withColumn("_spans", F.array_sort(F.concat("_base", _spans(text, TOKEN, 3, odds))))
     )
@@ -106,7 +106,7 @@ def report(df: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) of each whole text."""
     found = spans(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
     count = lambda k, column="_base": F.expr(f"cast(size(filter({column}, x -> x.k = {k})) as bigint)")
-    return found.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_spans").alias("spans"), count(3, "_spans").alias("n_markov"))
+    return found.select("row.doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_spans").alias("spans"), count(3, "_spans").alias("n_markov"))
 
 
 def redact(df: DataFrame, model: list[float], text_col: str = "text", chars_col: str | None = None) -> DataFrame:
@@ -116,9 +116,9 @@ def redact(df: DataFrame, model: list[float], text_col: str = "text", chars_col:
         f"named_struct('at', x.e, 'out', concat(a.out, substring(_text, a.at + 1, x.s - a.at), '{MARK}')), "
         "named_struct('at', greatest(a.at, x.e), 'out', a.out)), a -> concat(a.out, substring(_text, a.at + 1)))"
     )
-    new = F.when(F.size("_spans") > 0, cut).otherwise(F.col(text_col))
     found = spans(df, model, text_col)
-    out = found.withColumn(text_col, new)
+    hit = F.size("_spans") > 0
+    new = {text_col: F.when(hit, cut).otherwise(F.col("row")[text_col])}
     if chars_col:
-        out = out.withColumn(chars_col, F.when(F.size("_spans") > 0, F.length(F.col(text_col)).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(*df.columns)
+        new[chars_col] = F.when(hit, F.length(cut).cast(df.schema[chars_col].dataType)).otherwise(F.col("row")[chars_col])
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in df.columns))

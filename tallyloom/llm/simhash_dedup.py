@@ -224,9 +224,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # By fingerprint for null names: those of one component without an id are told apart by it.
     name = F.coalesce(F.col("component_id"), F.col("fp"))
     best = found.groupBy(F.col("component_id").isNull().alias("unnamed"), name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("kept"))
-    kept = best.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_hash").alias("_kept_hash"))
+    kept = best.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash")).distinct()
     mine, theirs = df[id_col].cast("long"), F.xxhash64(df[text_col].cast("string"))
-    out = df.join(kept.distinct(), mine.eqNullSafe(F.col("_kept_id")) & (theirs == F.col("_kept_hash")), "left_semi")
+    out = df.join(kept, mine.eqNullSafe(kept["kept_id"]) & (theirs == kept["kept_hash"]), "left_semi")
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        out = out.withColumn("_kept_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_kept_hash"]).drop("_kept_hash")
+        # Rows repeated with their id: the columns are set aside so that no name can clash.
+        rows = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"), mine.alias("kept_id"), theirs.alias("kept_hash"))
+        out = rows.dropDuplicates(["kept_id", "kept_hash"]).select("row.*")
     return out
