@@ -43,15 +43,22 @@ def insert(store: Store, rows: DataFrame, position_us: int | None = None, servic
     lo, hi = rows.agg(F.min("createdAt"), F.max("createdAt")).first()
     # Only records of the times that the batch has can repeat it; the bounds are pushed to the scan.
     known = collection.read().where(F.col("createdAt").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
-    table = collection.append(deduplicated(rows.select(*DEDUP_KEY), known))
+    collection.append(deduplicated(rows.select(*DEDUP_KEY), known))
     for name, part, of in (("unique_did", rows, F.col("did")), ("collection_lv2", rows.where(F.col("collection").contains(".")), level2(F.col("collection")))):
         key = KEYS[name][0]
         kept = store.table(name)
         kept.append(append_new(kept.read(), part.select(of.alias(key)), [key]))
     if position_us is not None:
-        at = table.sparkSession.createDataFrame([(service, position_us)], "service string, position long").select("service", F.col("position").cast("decimal(20,0)").alias("cursor"))
-        cursor = store.table("cursor")
-        cursor.replace(upsert(cursor.read(), at, KEYS["cursor"]))
+        _mark(store, service, position_us)
+
+
+def _mark(store: Store, service: str, position: int) -> None:
+    """Moves a service's position on; never back, as batches needn't come in the order of time."""
+    cursor = store.table("cursor")
+    old = cursor.read()
+    at = old.sparkSession.createDataFrame([(service, position)], "service string, position long").select("service", F.col("position").cast("decimal(20,0)").alias("cursor"))
+    ahead = at.join(old.withColumnRenamed("cursor", "old"), "service", "left").select("service", F.greatest("cursor", "old").cast("decimal(20,0)").alias("cursor"))
+    cursor.replace(upsert(old, ahead, KEYS["cursor"]))
 
 
 def insert_events(store: Store, rows: DataFrame) -> None:
@@ -79,8 +86,7 @@ def stream(source: DataFrame, store: Store, checkpoint: str, to_records: Callabl
         try:
             newest = batch.agg(F.max(position)).first()[0] if position else None
             insert(store, to_records(batch), newest, service)
-            at = batch.sparkSession.createDataFrame([(mark, number)], "service string, position long").select("service", F.col("position").cast("decimal(20,0)").alias("cursor"))
-            marks.replace(upsert(marks.read(), at, KEYS["cursor"]))
+            _mark(store, mark, number)
         finally:
             batch.unpersist()
 
