@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
 #: Rows in an Arrow batch: with texts of a few KB some MB, with texts of 1 MB about 1 GB at worst.
 ARROW_ROWS = 1000
 #: Bytes of values after which a Python operator hands on what it has.
@@ -36,8 +41,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a context, so that they needn't have it installed."""
+    if spark.sparkContext not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as own:  # on the driver alone: Spark copies it from there
+            shutil.copytree(package, f"{own}/all/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+            spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tallyloom-code-')}/{package.name}", "zip", f"{own}/all"))
+        _shipped.add(spark.sparkContext)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of whole texts can hold, unless the session has set its own value."""
+    """Makes a session ready for Python over whole texts: the package is sent, and what one Arrow batch can hold is bounded, unless the session has set its own value."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
