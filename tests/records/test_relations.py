@@ -213,3 +213,20 @@ def test_event_ids_go_on(spark, tmp_path):
     got = store.read("event_logs")
     assert sorted(r.id for r in got.select("id").collect()) == list(range(1, logs.count() + 1))
     assert got.schema.simpleString() == spark.createDataFrame([], schema.TABLES["event_logs"]).schema.simpleString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(store):
+    records = store.read("collection")
+    day = plan(rollup.daily_active_collection(records, AS_OF))
+    assert "GreaterThanOrEqual(createdAt" in day and "LessThan(createdAt" in day
+    since = plan(rollup.backfill_active_collection(records, "2024-01-24"))
+    assert "GreaterThanOrEqual(createdAt" in since and "rkey" not in since
+    ends = plan(views.collection_min_max_did(records))
+    assert "Window" not in ends and ends.count("Exchange") == 1
+    assert "Expand" not in plan(views.collection_stats(records))
+    newest = plan(api.latest_record(records, "com.x.y"))
+    assert "TakeOrderedAndProject" in newest and "EqualTo(collection,com.x.y)" in newest
