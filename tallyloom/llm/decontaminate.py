@@ -80,8 +80,13 @@ class Index:
             if len(t):
                 self.least[i] = np.sort(impact)[: len(impact) - missing].sum() * (1 - 1e-6)
         self.postings = [(np.array([i for i, _ in r], np.int64), np.array([x for _, x in r])) for r in rows]
-        self.peak = self.most.max(1) if n else np.zeros(len(self.terms) + 1, np.float32)
         self.block_least = np.array([self.least[b : b + self.size].min() for b in range(0, n, self.size)])
+        # Maxima rounded up to steps so small that a passage's sum fits an integer of two bytes; four if the steps would be coarse.
+        largest = np.sort(self.most.max(1, initial=0))[::-1][: 2 * self.chunk].sum() if n else 1.0
+        steps = 65_000 / max(1e-9, float(largest)) - 1
+        kind, self.steps = (np.uint16, steps) if steps >= 16 else (np.uint32, 1024.0)
+        self.rounded = np.ceil(self.most * self.steps).astype(kind)
+        self.rounded_least = np.where(np.isfinite(self.block_least), np.floor(self.block_least * self.steps), np.inf)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The term of each word, or the number of terms for words that no item has."""
@@ -90,44 +95,36 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, len(self.terms))
 
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """All (item, score) that score at least their threshold for a passage of these distinct terms."""
-        goal = float(self.least.min(initial=np.inf))
-        lists = [(*self.postings[t], float(self.peak[t]), self.most[t]) for t in terms.tolist()]
+    def retrieve(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
+        """All (item, score) of a block that score at least their threshold for a passage of these distinct terms: WAND over the block's stretch of each posting list."""
+        goal, begin, end = float(self.block_least[block]), block * self.size, (block + 1) * self.size
+        lists = []
+        for t in terms[self.most[terms, block] > 0].tolist():
+            items, impacts = self.postings[t]
+            lo, hi = np.searchsorted(items, (begin, end))
+            lists.append((items[lo:hi].tolist(), impacts[lo:hi].tolist(), float(self.most[t, block])))
         at = [0] * len(lists)
         out: list[tuple[int, float]] = []
-        live = [k for k in range(len(lists)) if len(lists[k][0])]
-        here = lambda k: int(lists[k][0][at[k]])
-
-        def skip(ks: list[int], to: int) -> None:
-            for k in ks:
-                at[k] += int(np.searchsorted(lists[k][0][at[k] :], to))
-
+        live = list(range(len(lists)))
         while live:
-            live.sort(key=here)
+            live.sort(key=lambda k: lists[k][0][at[k]])
             bound, pivot = 0.0, -1
-            for j, k in enumerate(live):
+            for k in live:
                 bound += lists[k][2]
                 if bound >= goal:
-                    pivot = j
+                    pivot = lists[k][0][at[k]]
                     break
             if pivot < 0:
                 break
-            item = here(live[pivot])
-            while pivot + 1 < len(live) and here(live[pivot + 1]) == item:
-                pivot += 1
-            ahead, block = live[: pivot + 1], item // self.size
-            if sum(float(lists[k][3][block]) for k in ahead) >= self.block_least[block]:
-                if here(ahead[0]) == item:
-                    score = sum(float(lists[k][1][at[k]]) for k in ahead)
-                    if score >= self.least[item]:
-                        out.append((item, score))
-                    skip(ahead, item + 1)
-                else:
-                    skip([k for k in ahead if here(k) < item], item)
-            else:
-                after = here(live[pivot + 1]) if pivot + 1 < len(live) else len(self.ids)
-                skip(ahead, max(item + 1, min((block + 1) * self.size, after)))
+            first = lists[live[0]][0][at[live[0]]]
+            ahead = [k for k in live if lists[k][0][at[k]] <= pivot]
+            if first == pivot:
+                score = sum(lists[k][1][at[k]] for k in ahead)
+                if score >= self.least[pivot]:
+                    out.append((pivot, score))
+            for k in ahead:
+                while at[k] < len(lists[k][0]) and (lists[k][0][at[k]] < pivot or first == pivot == lists[k][0][at[k]]):
+                    at[k] += 1
             live = [k for k in live if at[k] < len(lists[k][0])]
         return out
 
@@ -149,22 +146,22 @@ class Index:
         term = term[known]
         after = (chunk > 0) & joined[chunk - 1]
         # The distinct terms of each passage, which is a chunk and the next one.
-        pairs = np.unique(np.concatenate([chunk, chunk[after] - 1]) * len(self.terms) + np.concatenate([term, term[after]]))
+        pairs = np.sort(np.concatenate([chunk, chunk[after] - 1]) * len(self.terms) + np.concatenate([term, term[after]]))
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
         passage, term = np.divmod(pairs, len(self.terms))
         cut = np.searchsorted(passage, np.arange(len(starts) + 1))
         filled = np.flatnonzero(np.diff(cut))
-        weight = np.zeros((len(starts), self.most.shape[1]), np.float32)
+        weight = np.zeros((len(starts), self.rounded.shape[1]), self.rounded.dtype)
         a = 0
         while a < len(filled):
             b = max(a + 1, int(np.searchsorted(cut[filled], cut[filled[a]] + WORDS)))
             lo, hi = int(cut[filled[a]]), int(cut[filled[b - 1] + 1])
-            weight[filled[a:b]] = np.add.reduceat(self.most[term[lo:hi]], cut[filled[a:b]] - lo, axis=0, dtype=np.float32)
+            weight[filled[a:b]] = np.add.reduceat(self.rounded[term[lo:hi]], cut[filled[a:b]] - lo, axis=0, dtype=self.rounded.dtype)
             a = b
-        # Rounding in the sums is far less than this margin.
-        for c in np.flatnonzero((weight * 1.0001 + 1e-3 >= self.block_least[None, :]).any(1)).tolist():
+        for c, block in np.argwhere(weight >= self.rounded_least[None, :]).tolist():
             lo, end = int(starts[c]), c + 1 + int(joined[c])
             hi = int(starts[end]) if end < len(starts) else len(hashes)
-            for item, score in self.retrieve(term[cut[c] : cut[c + 1]]):
+            for item, score in self.retrieve(term[cut[c] : cut[c + 1]], block):
                 held = np.unique(shingles(hashes[lo:hi], owner[lo:hi], SHINGLE)[0])
                 share = [np.isin(s, held).mean() if len(s) else None for s in self.sets[item]]
                 if share[0] >= OVERLAP and (share[1] is None or share[1] >= OVERLAP):
