@@ -3,7 +3,7 @@
 For each language a suffix automaton is built over labelled text. A text is parsed into the longest phrases
 that occur in the labelled text; the fewer phrases it takes, each worth log2 of the labelled length in bits,
 the nearer the language. Texts are parsed in blocks of BLOCK symbols so that thousands advance together; a
-phrase ends at the end of a block.
+phrase ends at the end of a block. A symbol that a language doesn't have is a phrase of its own.
 
 Learned: up to SAMPLE_TEXTS texts a language, SAMPLE_CHARS characters from the start of each, chosen by a
 hash of the id among rows with a language that aren't held out. That bounds the automata; everything else
@@ -108,11 +108,14 @@ class Model:
         for lang in self.langs:
             text = np.concatenate([np.append(symbols(t, table), GAP) for t in samples[lang]]).astype(np.uint8)
             own = automaton(text, self.width)
+            # One state more, in which each symbol begins a phrase: where a text begins, and after a symbol the language doesn't have.
+            outside = len(own)
+            own = np.concatenate([own, np.full((1, self.width), -1, np.int32)])
             ends = own < 0
-            # A step holds the next row's offset and, in its last bit, whether a phrase ended before this symbol.
-            after = np.where(ends, np.where(own[0] < 0, 0, own[0])[None, :], own)
+            # A step holds the next row's offset and, in its last bit, whether a phrase begins with this symbol.
+            after = np.where(ends, np.where(own[0] < 0, outside, own[0])[None, :], own)
             steps.append((((after + at) * self.width) << 1 | ends).astype(np.int32).ravel())
-            self.roots.append(at * self.width)
+            self.roots.append((at + outside) * self.width)
             self.bits.append(float(np.log2(len(text) + 1)))
             at += len(own)
         self.steps = np.concatenate(steps) if steps else np.empty(0, np.int32)
@@ -134,7 +137,7 @@ class Model:
         grid, owner, size = np.ascontiguousarray(grid[order].T), owner[order], size[order]
         live = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than t
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         for t in range(int(size[0])):
             n = live[t]
             step = self.steps.take(state[:, :n] + grid[t, :n])
