@@ -80,6 +80,27 @@ def backfill_new_collection(collection: DataFrame, since: str) -> DataFrame:
     return _new_by_day(_from(first_seen(_without_publisher(collection), "collection"), "first_at", since), "new_collection_count")
 
 
+def stored_first_seen(store: Store, entity: str) -> DataFrame | None:
+    """The kept first times, of which ingest appends each batch's least; None if they aren't kept."""
+    table = store.table(f"first_seen_{entity}")
+    return table.read().groupBy(entity).agg(F.min("first_at").alias("first_at")) if table.exists() else None
+
+
+def rebuild_first_seen(store: Store) -> None:
+    """Keeps first times from now on, from the log as it is; also rewrites what appends have left as one row an entity."""
+    for entity, rows in (("did", lambda c: c), ("collection", _without_publisher)):
+        seen = stored_first_seen(store, entity)
+        store.table(f"first_seen_{entity}").replace(first_seen(rows(store.read("collection")), entity) if seen is None else seen)
+
+
+def append_first_seen(store: Store, rows: DataFrame) -> None:
+    """Adds a batch's least times, if first times are kept."""
+    for entity, part in (("did", rows), ("collection", _without_publisher(rows))):
+        table = store.table(f"first_seen_{entity}")
+        if table.exists():
+            table.append(first_seen(part, entity))
+
+
 def merge(store: Store, name: str, updates: DataFrame) -> DataFrame:
     """Merges updates into a stored table and gives its new version."""
     table = store.table(name)
@@ -90,9 +111,9 @@ def run_daily(store: Store, as_of: datetime | str) -> list[str]:
     """The nightly job: did counts, then both collection counts. A step that fails is logged and doesn't stop the next; gives the steps that failed. Running it again changes nothing."""
     collection = store.read("collection")
     steps = (
-        ("daily_active_did", lambda: daily_active_did(collection, as_of)),
+        ("daily_active_did", lambda: daily_active_did(collection, as_of, stored_first_seen(store, "did"))),
         ("daily_collection_stats", lambda: daily_active_collection(collection, as_of)),
-        ("daily_collection_stats", lambda: daily_new_collection(collection, as_of)),
+        ("daily_collection_stats", lambda: daily_new_collection(collection, as_of, stored_first_seen(store, "collection"))),
     )
     return _run(store, steps)
 

@@ -18,6 +18,8 @@ TABLES = {
     "daily_collection_stats": "day date not null, active_collection_count int not null, new_collection_count int not null, new_did_count int not null",
     "daily_active_collection": "day date not null, active_collection_count int not null",
     "collection_stats": "collection string, unique_did bigint, unique_rkey bigint, min_createdat timestamp_ntz, max_createdat timestamp_ntz, total_count bigint",
+    "first_seen_did": "did string not null, first_at timestamp_ntz",
+    "first_seen_collection": "collection string not null, first_at timestamp_ntz",
     "dns_txt": "name string, data array<string>",
     "did_docs": "did string, doc_json string",
     "records": "repo string, collection string, rkey string, value_json string",

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.functions.identity import level2
 from tallyloom.operators.upsert import append_new, upsert
+from tallyloom.plans.rollup import append_first_seen, rebuild_first_seen
 from tallyloom.schema import DEDUP_KEY, KEYS
 from tallyloom.sources.storage import Store
 
@@ -38,16 +39,21 @@ def numbered(rows: DataFrame, after: int) -> DataFrame:
 
 
 def insert(store: Store, rows: DataFrame, position_us: int | None = None, service: str = "collection") -> None:
-    """Appends records and keeps the distinct sets and the position of the service."""
+    """Appends records and keeps the distinct sets, the first times and the position of the service."""
     collection = store.table("collection")
     lo, hi = rows.agg(F.min("createdAt"), F.max("createdAt")).first()
     # Only records of the times that the batch has can repeat it; the bounds are pushed to the scan.
     known = collection.read().where(F.col("createdAt").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
+    begun = collection.exists()
     collection.append(deduplicated(rows.select(*DEDUP_KEY), known))
     for name, part, of in (("unique_did", rows, F.col("did")), ("collection_lv2", rows.where(F.col("collection").contains(".")), level2(F.col("collection")))):
         key = KEYS[name][0]
         kept = store.table(name)
         kept.append(append_new(kept.read(), part.select(of.alias(key)), [key]))
+    if begun:
+        append_first_seen(store, rows)
+    else:  # a log that begins here has its first times kept; for one filled otherwise, rebuild_first_seen() begins it
+        rebuild_first_seen(store)
     if position_us is not None:
         _mark(store, service, position_us)
 

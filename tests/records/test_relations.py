@@ -199,6 +199,14 @@ def test_stream_equals_batch(spark, tmp_path):
     cursor = lambda s: s.read("cursor").where("service = 'collection'").first().cursor
     assert cursor(streamed) == cursor(loaded) == 999_000
     rows = loaded.read("collection")
+    for entity, log in (("did", rows), ("collection", rows.where(f"did <> '{schema.PUBLISHER}'"))):
+        want = sorted(map(str, rollup.first_seen(log, entity).collect()))
+        assert sorted(map(str, rollup.stored_first_seen(streamed, entity).collect())) == want
+        rollup.rebuild_first_seen(streamed)
+        assert sorted(map(str, streamed.read(f"first_seen_{entity}").collect())) == want
+    assert rollup.run_daily(streamed, AS_OF) == []
+    for name, fresh in (("daily_active_did", rollup.daily_active_did(rows, AS_OF)), ("daily_collection_stats", rollup.daily_new_collection(rows, AS_OF))):
+        assert [tuple(r) for r in streamed.read(name).select(fresh.columns).collect()] == [tuple(r) for r in fresh.collect()]
     ingest.insert(loaded, tables.collection_from_events(events).where("createdAt is not null"))
     assert loaded.read("collection").count() == rows.count()
     assert views.unique_did_count_view(loaded.read("unique_did")).first() == views.unique_did_count(loaded.read("collection")).first()
@@ -220,6 +228,7 @@ def plan(df):
 
 
 def test_plans(store):
+    store.spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     records = store.read("collection")
     day = plan(rollup.daily_active_collection(records, AS_OF))
     assert "GreaterThanOrEqual(createdAt" in day and "LessThan(createdAt" in day
