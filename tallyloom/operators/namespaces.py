@@ -62,7 +62,7 @@ def suffix_labels(domains: DataFrame, rules: DataFrame, column: str = "domain")
     keyed = tries.select("domain", "n", "i", F.explode(F.array(F.struct(F.lit("plain").alias("kind"), tail(F.col("i")).alias("key")), F.struct(F.lit("exception").alias("kind"), tail(F.col("i")).alias("key")), F.struct(F.lit("wild").alias("kind"), F.when(F.col("i") + 1 < F.col("n"), tail(F.col("i") + 1)).alias("key")))).alias("try"))
     hits = keyed.select("domain", "n", "i", "try.kind", "try.key").join(kinds, ["kind", "key"])
     best = hits.groupBy("domain").agg(F.max("n").alias("n"), F.min(F.when(F.col("kind") == "exception", F.col("i"))).alias("e"), F.min(F.when(F.col("kind") != "exception", F.col("i"))).alias("m"))
-    found = best.select("domain", F.coalesce(F.greatest(F.col("n") - F.col("e") - 1, F.lit(1)), F.col("n") - F.col("m")).alias("found"))
+    found = best.select("domain", F.when(F.col("e").isNotNull(), F.greatest(F.col("n") - F.col("e") - 1, F.lit(1))).otherwise(F.col("n") - F.col("m")).alias("found"))
     return once.join(found, "domain", "left").select("domain", F.coalesce("found", F.lit(1)).alias("labels"))
 
 

@@ -306,7 +306,7 @@ _SUFFIX = f"""{_RULES}, names AS (SELECT DISTINCT collection, list_reverse(strin
 tries AS (SELECT collection, p, len(p) AS n, unnest(range(0, len(p))) AS i FROM names),
 keyed AS (SELECT collection, n, i, array_to_string(p[i + 1:], '.') AS sub, CASE WHEN i + 1 < n THEN array_to_string(p[i + 2:], '.') END AS up FROM tries),
 hits AS (SELECT collection, n, min(i) FILTER (WHERE '!' || sub IN (SELECT rule FROM rules)) AS e, min(i) FILTER (WHERE sub IN (SELECT rule FROM rules) OR '*.' || up IN (SELECT rule FROM rules)) AS m FROM keyed GROUP BY ALL),
-suffixes AS (SELECT names.collection, p, CAST(coalesce(greatest(n - e - 1, 1), n - m, 1) AS INT) AS labels FROM names JOIN hits USING (collection)),
+suffixes AS (SELECT names.collection, p, CAST(coalesce(CASE WHEN e IS NOT NULL THEN greatest(n - e - 1, 1) ELSE n - m END, 1) AS INT) AS labels FROM names JOIN hits USING (collection)),
 registrants AS (SELECT collection, array_to_string(string_split(collection, '.')[1:least(len(p), labels + 1)], '.') AS registrant FROM suffixes)"""
 
 
