@@ -25,9 +25,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if not mark[0]:
             break
         both = now.selectExpr("hi as u", "lo as v").unionAll(now.selectExpr("lo as u", "hi as v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written: then both sides of the joins are plain exchanges, and Spark can split a hub's rows among tasks.
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").selectExpr("v as hi", "m as lo").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = materialise(large)
+        low = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(low, "hi").where("lo <> m").selectExpr("lo as hi", "m as lo").unionAll(low.selectExpr("hi", "m as lo"))
         now = materialise(small.distinct())
         last, mark = mark, _mark(now)

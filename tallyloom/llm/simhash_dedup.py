@@ -208,9 +208,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     docs = materialise(fingerprint(df, id_col, text_col))
     distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(link(distinct))
-    known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return docs.join(known.join(names, "root").select("fp", "component_id"), "fp")
+    # Written, so that the joins are of plain exchanges, which Spark can split where one root or fingerprint holds most rows.
+    known = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    names = materialise(known.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = materialise(known.join(names, "root").select("fp", "component_id"))
+    return docs.join(named, "fp")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
