@@ -37,6 +37,7 @@ DISTANCE = 4
 SEGMENTS = (22, 21, 21)
 #: Fingerprints of one variant that a task compares at a time.
 BLOCK = 4096
+NEVER = 1 << 62
 #: Up to this size groups are compared all at once, by their distance in the sorted batch.
 SMALL = 24
 #: Shingles whose bits are unpacked at a time.
@@ -185,7 +186,8 @@ def link(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         # Of keys cut into blocks, each pair of blocks meets: blocks are as many as the key's fingerprints / BLOCK.
         most = cut.groupBy("key").agg(F.max("block").alias("most"))
         pairs = cut.join(most, "key").select(F.explode(F.sequence(F.lit(0), F.col("most"))).alias("other"), "key", "block", F.col("a").alias("fp"))
-        again = _meet(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp"), 2 * block + 1)
+        # Two blocks are never cut again: a last block can hold up to a batch more than the others.
+        again = _meet(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp"), NEVER)
         edges = edges.unionAll(again.where("block = -1").select("a", "b"))
     return edges.distinct()
 

@@ -97,3 +97,24 @@ def test_forest_spans_each_part():
     rows = [(i, int(p)) for i, p in enumerate(prints)]
     assert len(a) == len(prints) - len(set(slow_components(rows)))
     assert (np.bitwise_count(a ^ b) <= 4).all()
+
+
+def test_last_blocks_larger_than_others_lose_no_link(spark, monkeypatch):
+    rng = random.Random(4)
+    first = [rng.getrandbits(62) for _ in range(400)]
+    low = [p for p in first] + [p | 1 << 62 for p in first]
+    high = [rng.getrandbits(62) - (1 << 63) for _ in range(300)]
+    high += [p + (1 << 62) for p in high]
+    monkeypatch.setattr(simhash_dedup, "variants", lambda fp: simhash_dedup.F.array(simhash_dedup.F.when(fp < 0, 1).otherwise(2).cast("long")))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, parts = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # both keys in one task
+    want = {frozenset(x) for x in zip(first, low[400:])} | {frozenset(x) for x in zip(high[:300], high[300:])}
+    try:
+        for batch in (100, 330):
+            spark.conf.set(key, str(batch))
+            edges = simhash_dedup.link(spark.createDataFrame([(p,) for p in low + high], "fp long").coalesce(1), 40).collect()
+            assert want <= {frozenset((r.a, r.b)) for r in edges}
+    finally:
+        spark.conf.set(key, was)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
