@@ -71,3 +71,16 @@ def sentinel_label(t: Column, unknown_day: str, label: str = "Backfilled Data")
 def like_text(column: Column, search: str | None) -> Column:
     """Whether column holds the text, in any case; the text is taken literally. None or empty: all."""
     return F.lower(column).contains(search.lower()) if search else F.lit(True)
+
+
+def grouped_number(n: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(n, 0)
+
+
+def url_component(text: Column) -> Column:
+    """text percent-encoded for one component of a URL: letters, digits and -_.!~*'() stay, a blank becomes %20."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for kept in "!~'()":
+        out = F.replace(out, F.lit(f"%{ord(kept):02X}"), F.lit(kept))
+    return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.numbering import in_order
+from tallyloom.sources.storage import scratch_path
+
 
 def prefixes(name: Column, least: int = 2) -> Column:
     """The dotted prefixes of name from `least` labels on; none if it has fewer."""
@@ -24,28 +27,39 @@ def tree(names: DataFrame, schema_keys: DataFrame, tlds: DataFrame | None = None
 
     names: column collection; schema_keys: column rkey; tlds: column tld, roots must begin with one (in any
     case). with_schema_only drops subtrees without a schema. Nodes below a name of the data go, though a
-    flag that came from them stays with their ancestors. id_path: the ordinals among siblings along the path.
+    flag that came from them stays with their ancestors. id_path: the ordinals among siblings along the path, in
+    the order of Unicode collation, equal ones by code points.
     """
     data = names.select("collection").where(F.size(F.split("collection", "[.]")) >= 2).distinct()
     if tlds is not None:
         data = data.join(tlds.select(F.lower("tld").alias("tld")).distinct(), F.lower(F.split_part("collection", F.lit("."), F.lit(1))) == F.col("tld"), "left_semi")
     keys = schema_keys.select(F.col("rkey").alias("collection")).distinct().withColumn("is_key", F.lit(True))
-    flagged = data.join(keys, "collection", "left").select("collection", F.coalesce("is_key", F.lit(False)).alias("is_key"))
+    data = _kept(data.join(keys, "collection", "left").select("collection", F.coalesce("is_key", F.lit(False)).alias("is_key")))
+    # The least depth at which a name lies below another one of the data: what is deeper is hidden.
+    above = data.select("collection", F.explode(F.filter(prefixes(F.col("collection")), lambda p: p != F.col("collection"))).alias("node"))
+    hidden = above.join(data.select(F.col("collection").alias("node")), "node", "left_semi").groupBy("collection").agg(F.min(F.size(F.split("node", "[.]"))).alias("last"))
     # One row a name and prefix; a node's flags are sums over its names.
-    every = flagged.select("collection", "is_key", F.explode(prefixes(F.col("collection"))).alias("node"))
-    own = F.col("node") == F.col("collection")
-    nodes = every.groupBy("node").agg(F.max(own).alias("is_data"), F.max(own & F.col("is_key")).alias("own_schema"), F.max("is_key").alias("below_schema"))
+    every = data.join(hidden, "collection", "left").select("collection", "is_key", F.explode(prefixes(F.col("collection"))).alias("node"), "last")
+    own, depth = F.col("node") == F.col("collection"), F.size(F.split("node", "[.]"))
+    nodes = every.where(F.col("last").isNull() | (depth <= F.col("last"))).groupBy("node").agg(F.max(own).alias("is_data"), F.max(own & F.col("is_key")).alias("own_schema"), F.max("is_key").alias("below_schema"))
     if with_schema_only:
         nodes = nodes.where("below_schema")
-    above = nodes.select("node", F.explode(F.filter(prefixes(F.col("node")), lambda p: p != F.col("node"))).alias("collection"))
-    hidden = above.join(data, "collection", "left_semi").select("node").distinct()
-    kept = nodes.join(hidden, "node", "left_anti").select(
-        "node", F.coalesce(parent(F.col("node")), F.lit("")).alias("parent"), F.size(F.split("node", "[.]")).alias("depth"), "is_data", F.when(F.col("is_data"), F.col("own_schema")).otherwise(F.col("below_schema")).alias("has_schema")
-    )
-    ranked = kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("parent").orderBy("node")))
+    kept = nodes.select("node", F.coalesce(parent(F.col("node")), F.lit("")).alias("parent"), depth.alias("depth"), "is_data", F.when(F.col("is_data"), F.col("own_schema")).otherwise(F.col("below_schema")).alias("has_schema"))
+    # Siblings follow each other in one order of all nodes; a node's ordinal is its place less that of its parent's first.
+    order = [F.col("parent"), F.collate("node", "UNICODE"), F.col("node")]
+    placed = in_order(kept.repartitionByRange(*order).sortWithinPartitions(*order))
+    first = placed.groupBy("parent").agg(F.min("position").alias("first"))
+    ranked = _kept(placed.join(first, "parent").withColumn("ordinal", F.col("position") - F.col("first") + 1).drop("position", "first"))
     path = ranked.select("node", F.posexplode(prefixes(F.col("node"))).alias("level", "prefix")).join(ranked.select(F.col("node").alias("prefix"), "ordinal"), "prefix")
     ids = path.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "ordinal"))), lambda x: x["ordinal"].cast("string")), "-").alias("id_path"))
-    return kept.join(ids, "node")
+    return ranked.drop("ordinal").join(ids, "node").select("node", "parent", "depth", "is_data", "has_schema", "id_path")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder: what is read several times isn't computed again."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def suffix_labels(domains: DataFrame, rules: DataFrame, column: str = "domain") -> DataFrame:

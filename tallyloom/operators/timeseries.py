@@ -21,9 +21,13 @@ def summary(daily: DataFrame, measure: str, days: int = SPINE_DAYS) -> DataFrame
     return joined.select((F.datediff("newest", "spine_day") + 1).alias("day"), F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
-def gap_fill(series: DataFrame) -> DataFrame:
-    """(day, count) for each whole number from the least day to the largest; missing ones count 0. Of a day that repeats, one count is taken."""
-    once = series.groupBy("day").agg(F.max("count").alias("count"))
+def gap_fill(series: DataFrame, order: str | None = None) -> DataFrame:
+    """(day, count) for each whole number from the least day to the largest; missing ones count 0.
+
+    Of a day that repeats the last count is taken, by the column named as order; rows of a DataFrame have no
+    order of their own, so without it the largest is.
+    """
+    once = series.groupBy("day").agg((F.max_by("count", order) if order else F.max("count")).alias("count"))
     ends = once.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo is not null")
     spine = ends.select(F.explode(F.sequence("lo", "hi")).alias("day"))
     return spine.join(once, "day", "left").select("day", F.coalesce("count", F.lit(0)).alias("count"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import identity
 from tallyloom.operators import namespaces, timeseries
+from tallyloom.operators.numbering import in_order
 from tallyloom.operators.upsert import upsert
 from tallyloom.plans import api, feeds, rollup, snapshots, views
 from tallyloom.plans.api import QuerySpec, Service
 from tallyloom.schema import DEFAULTS, PUBLISHER, SCHEMA_COLLECTION, TRANSACTION_PREFIX, UNKNOWN_DAY
 from tallyloom.sources import tables
-from tallyloom.sources.storage import Store
+from tallyloom.sources.storage import Store, scratch_path
 from tallyloom.streaming import ingest
 
 AS_OF = "2024-01-31 00:00:00"
@@ -79,10 +79,10 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.event_logs_from_events(tables.load(spark, f"{sf_dir}/events.parquet"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; only where none is set, as in tests, of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(root or tempfile.mkdtemp(prefix='tallyloom-')).rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _did_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,9 @@ def service(spark: SparkSession, sf_dir: str) -> Service:
     made = {
         "collection": lambda: collection(spark, sf_dir),
         "event_logs": lambda: event_logs(spark, sf_dir),
-        "daily_active_did": lambda: _did_days(spark, sf_dir),
-        "daily_collection_stats": lambda: _collection_days(spark, sf_dir),
+        # Stored once, as the roll-up jobs do, since the summaries read them twice.
+        "daily_active_did": lambda: _written(_did_days(spark, sf_dir)),
+        "daily_collection_stats": lambda: _written(_collection_days(spark, sf_dir)),
         "unique_did": lambda: collection(spark, sf_dir).select("did").distinct(),
         "collection_stats": lambda: views.collection_stats(collection(spark, sf_dir)),
         "cursor": lambda: spark.createDataFrame([("collection", CURSOR_US)], "service string, cursor long"),
@@ -162,7 +163,7 @@ def v18(spark, sf_dir):
 @_query("k05_snapshot", _STATS)
 def k05(spark, sf_dir):
     """The snapshot as read back after a refresh."""
-    store = Store(spark, _shared(spark))
+    store = Store(spark, scratch_path(spark))
     store.table("collection").replace(collection(spark, sf_dir))
     return snapshots.refresh_collection_stats(store)
 
@@ -196,7 +197,7 @@ def b05(spark, sf_dir):
 @_query("b06_daily_job", f"""SELECT * FROM daily_collection_stats WHERE "day" = CAST(TIMESTAMP '{AS_OF}' AS DATE) - 1""")
 def b06(spark, sf_dir):
     """The nightly job run twice over a store: the second run changes nothing."""
-    store = Store(spark, _shared(spark))
+    store = Store(spark, scratch_path(spark))
     store.table("collection").replace(collection(spark, sf_dir))
     for _ in range(2):
         if failed := rollup.run_daily(store, AS_OF):
@@ -235,24 +236,51 @@ def k06(spark, sf_dir):
     return ingest.deduplicated(rows.unionAll(rows))
 
 
-@_query("k07_event_ids", """SELECT 100 + row_number() OVER (ORDER BY time_us) AS n, time_us FROM event_logs""")
+_ORDERED = "row_number() OVER (ORDER BY time_us, creator_did, rkey, server_did, event)"
+
+
+@_query("k07_event_ids", f"""SELECT 100 + {_ORDERED} AS n, event, time_us, create_at, creator_did, rkey, server_did FROM event_logs""")
 def k07(spark, sf_dir):
-    return ingest.numbered(event_logs(spark, sf_dir), 100).select(F.col("id").cast("long").alias("n"), "time_us")
+    return ingest.numbered(event_logs(spark, sf_dir), 100).withColumn("n", F.col("id").cast("long")).drop("id")
+
+
+@_query("k08_insert_events", f"""SELECT CAST({_ORDERED} AS INT) AS id, event, time_us, creator_did, rkey, server_did FROM event_logs""")
+def k08(spark, sf_dir):
+    """All feed events stored, and read back."""
+    store = Store(spark, f"{scratch_path(spark)}/store")
+    ingest.insert_events(store, tables.event_logs_from_events(tables.load(spark, f"{sf_dir}/events.parquet"), zone=True))
+    return store.read("event_logs").drop("create_at")
+
+
+def _stored(name: str) -> Query:
+    """The record log inserted in two batches, the second with all of the first again; a table that the store keeps of it."""
+
+    def run(spark, sf_dir):
+        store, records = Store(spark, f"{scratch_path(spark)}/store"), collection(spark, sf_dir)
+        ingest.insert(store, records.where("createdAt < timestamp_ntz'2024-01-15'"), CURSOR_US)
+        ingest.insert(store, records, CURSOR_US - 5)
+        return store.read(name)
+
+    return run
+
+
+_query("k03_unique_did_kept", """SELECT DISTINCT did FROM collection""")(_stored("unique_did"))
+_query("k03_collection_lv2_kept", """SELECT DISTINCT split_part(collection, '.', 1) || '.' || split_part(collection, '.', 2) AS nsidlv2 FROM collection WHERE contains(collection, '.')""")(_stored("collection_lv2"))
+_query("x01_position", f"""SELECT 'collection' AS service, CAST({CURSOR_US} AS BIGINT) AS cursor""")(lambda spark, sf_dir: _stored("cursor")(spark, sf_dir).withColumn("cursor", F.col("cursor").cast("long")))
 
 
 # Series.
 _V2 = f"""v AS (SELECT CAST(extract(day FROM TIMESTAMP '{AS_OF}' - "createdAt") + 1 AS BIGINT) AS "day", count(*) AS count FROM collection WHERE "createdAt" IS NOT NULL AND "createdAt" > TIMESTAMP '1901-01-01' GROUP BY 1)"""
 
 
-def _holed(spark, sf_dir) -> DataFrame:
-    """Event days without every third one."""
-    days = views.collection_daily_summary(collection(spark, sf_dir), AS_OF)
-    return days.where("day < 10000 and day % 3 <> 0")
+def _event_days(spark, sf_dir) -> DataFrame:
+    """Days that have records. Those of the least time leave gaps of their own."""
+    return views.collection_daily_summary(collection(spark, sf_dir), AS_OF).where("day < 10000")
 
 
-@_query("w05_gap_fill", f""", {_V2}, h AS (SELECT * FROM v WHERE "day" % 3 <> 0), s AS (SELECT unnest(range(min("day"), max("day") + 1)) AS d FROM h) SELECT d AS "day", coalesce(h.count, 0) AS count FROM s LEFT JOIN h ON s.d = h."day" """)
+@_query("w05_gap_fill", f""", {_V2}, h AS (SELECT * FROM v), s AS (SELECT unnest(range(min("day"), max("day") + 1)) AS d FROM h) SELECT d AS "day", coalesce(h.count, 0) AS count FROM s LEFT JOIN h ON s.d = h."day" """)
 def w05(spark, sf_dir):
-    return timeseries.gap_fill(_holed(spark, sf_dir))
+    return timeseries.gap_fill(_event_days(spark, sf_dir))
 
 
 def _bucket_sql(source: str) -> str:
@@ -387,32 +415,61 @@ def p11(spark, sf_dir):
     return api.in_days(api.in_days(rows, "min", "2024/01/01", "2024/01/10"), "max", "2024/01/20", None).select("collection", "min", "max")
 
 
+# Orders: rows with their rank in the order in which a relation is given.
+def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:
+    placed = in_order(df)
+    first = placed.groupBy(*(F.col(k).alias(f"key_{k}") for k in keys)).agg((F.min("position") + 1).alias("rank"))
+    same = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in keys]
+    return placed.join(first, same).drop("position", *(f"key_{k}" for k in keys))
+
+
+_query("o01_count_view_order", """SELECT collection, max, rank() OVER (ORDER BY max DESC NULLS FIRST) AS rank FROM counts""")(lambda spark, sf_dir: _ranked(service(spark, sf_dir).query("/collection_count_view").select("collection", "max"), ["max"]))
+_query("o02_did_count_order", """SELECT did, count(*) AS count, rank() OVER (ORDER BY count(*) DESC) AS rank FROM collection GROUP BY did""")(lambda spark, sf_dir: _ranked(service(spark, sf_dir).query("/did_count_view").select("did", "count"), ["count"]))
+_query("o03_daily_summary_order", f"""SELECT "day", count, rank() OVER (ORDER BY "day" ASC NULLS LAST) AS rank FROM (SELECT CAST(extract(day FROM TIMESTAMP '{AS_OF}' - "createdAt") + 1 AS BIGINT) AS "day", count(*) AS count FROM collection GROUP BY 1) t""")(lambda spark, sf_dir: _ranked(service(spark, sf_dir).query("/collection_daily_summary_view"), ["day"]))
+_query("o04_active_did_order", _spine("daily_active_did", "active_did_count").replace("\nSELECT", ", y AS (SELECT", 1) + """) SELECT "day", count, rank() OVER (ORDER BY "day") AS rank FROM y""")(lambda spark, sf_dir: _ranked(service(spark, sf_dir).query("/active_did_summary_view"), ["day"]))
+_query("o09_server_list_default", """SELECT server_did, unique_creator_did, unique_creator_rkey, rank() OVER (ORDER BY unique_creator_rkey DESC) AS rank FROM shown""")(lambda spark, sf_dir: _ranked(api.server_list(service(spark, sf_dir).call("get_event_logs_by_server", start_date="2024-01-01", end_date="2024-02-01")).select("server_did", "unique_creator_did", "unique_creator_rkey"), ["unique_creator_rkey"]))
+
+
+@_query("k04_views", """SELECT count(*) AS rows_in_counts, (SELECT count(DISTINCT did) FROM collection) AS dids FROM counts""")
+def k04(spark, sf_dir):
+    """The relations as views of the session, asked in SQL."""
+    service(spark, sf_dir).register()
+    return spark.sql("SELECT count(*) AS rows_in_counts, (SELECT unique_did_count FROM unique_did_count_view) AS dids FROM collection_count_view")
+
+
+@_query("f23_f32_labels", """SELECT collection, format('{:,}', count) AS shown, url_encode(collection || ' (a+b)') AS encoded FROM counts""")
+def labels(spark, sf_dir):
+    shown = service(spark, sf_dir).table("collection_count_view")
+    return shown.select("collection", identity.grouped_number(F.col("count")).alias("shown"), F.replace(F.replace(identity.url_component(F.concat("collection", F.lit(" (a+b)"))), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")).alias("encoded"))
+
+
 # Namespaces.
-def _tree_sql(tld_filter: bool, schema_only: bool) -> str:
+def _tree_sql(tld_filter: bool, schema_only: bool, where: str = "true") -> str:
     tlds = ", ".join(f"'{t}'" for t in tables.TLDS)
     return f""", keys AS (SELECT DISTINCT rkey FROM collection WHERE collection = '{SCHEMA_COLLECTION}' AND did <> '{PUBLISHER}'),
-d AS (SELECT DISTINCT collection AS c, string_split(collection, '.') AS p FROM counts WHERE len(string_split(collection, '.')) >= 2{f" AND lower(split_part(collection, '.', 1)) IN ({tlds})" if tld_filter else ""}),
+d AS (SELECT DISTINCT collection AS c, string_split(collection, '.') AS p FROM counts WHERE {where} AND len(string_split(collection, '.')) >= 2{f" AND lower(split_part(collection, '.', 1)) IN ({tlds})" if tld_filter else ""}),
 pre AS (SELECT c, unnest(list_transform(range(2, len(p) + 1), lambda n: array_to_string(p[1:n], '.'))) AS node FROM d),
 sub AS (SELECT DISTINCT node FROM pre WHERE c IN (SELECT rkey FROM keys)),
 n0 AS (SELECT DISTINCT node, string_split(node, '.') AS p FROM pre{" WHERE node IN (SELECT node FROM sub)" if schema_only else ""}),
 n1 AS (SELECT node, p, CASE WHEN len(p) > 2 THEN array_to_string(p[1:len(p) - 1], '.') ELSE '' END AS parent FROM n0
   WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.c <> n0.node AND starts_with(n0.node, d.c || '.'))),
-r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY node) AS k FROM n1),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY node COLLATE en_us, node) AS k FROM n1),
 path AS (SELECT node, unnest(range(2, len(p) + 1)) AS i, p FROM r),
 ids AS (SELECT path.node, string_agg(CAST(r.k AS VARCHAR), '-' ORDER BY i) AS id_path FROM path JOIN r ON r.node = array_to_string(path.p[1:i], '.') GROUP BY path.node)
 SELECT r.node, parent, CAST(len(p) AS INT) AS depth, r.node IN (SELECT c FROM d) AS is_data,
   CASE WHEN r.node IN (SELECT c FROM d) THEN r.node IN (SELECT rkey FROM keys) ELSE r.node IN (SELECT node FROM sub) END AS has_schema, id_path FROM r JOIN ids USING (node)"""
 
 
-def _tree(tld_filter: bool, schema_only: bool) -> Query:
+def _tree(tld_filter: bool, schema_only: bool, **filters) -> Query:
     def run(spark, sf_dir):
         s = service(spark, sf_dir)
-        return api.collection_tree(s.table("collection_count_view"), s.table("distinct_schema_rkeys"), tables.dimension(spark, tables.TLDS, "tld") if tld_filter else None, with_schema_only=schema_only)
+        return api.collection_tree(s.table("collection_count_view"), s.table("distinct_schema_rkeys"), tables.dimension(spark, tables.TLDS, "tld") if tld_filter else None, with_schema_only=schema_only, **filters)
 
     return run
 
 
 _query("c13_tree", _tree_sql(True, False))(_tree(True, False))
+_query("c13_tree_search_days", _tree_sql(True, False, "contains(lower(collection), 'view') AND min >= TIMESTAMP '2024-01-01' AND max < TIMESTAMP '2024-01-31'"))(_tree(True, False, search=" VIEW", min_days=("2024/01/01", None), max_days=("2024/01/01", "2024/01/30")))
 _query("t01_tree_all", _tree_sql(False, False))(_tree(False, False))
 _query("t03_tree_schema_only", _tree_sql(True, True))(_tree(True, True))
 _query("t03_tree_schema_only_all", _tree_sql(False, True))(_tree(False, True))
@@ -487,7 +544,7 @@ def c16(spark, sf_dir):
 @_query("x03_stream_ingest", """SELECT DISTINCT did, collection, rkey, "createdAt" FROM collection WHERE "createdAt" IS NOT NULL UNION ALL SELECT did, collection, rkey, "createdAt" FROM collection WHERE "createdAt" IS NULL""")
 def x03(spark, sf_dir):
     """The event log streamed into a store; what the store then holds."""
-    root = _shared(spark)
+    root = scratch_path(spark)
     store = Store(spark, f"{root}/store")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
@@ -496,4 +553,4 @@ def x03(spark, sf_dir):
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return QUERIES["v01_collection_count"](spark, "/root/testdata/sf0.001")
+    return QUERIES["v01_collection_count"](spark, os.environ.get("TALLYLOOM_SF_DIR", "/root/testdata/sf0.001"))

@@ -21,6 +21,21 @@ def dimension(spark: SparkSession, values: tuple[str, ...] | list[str], column:
     return spark.createDataFrame([(v,) for v in values], f"{column} string")
 
 
+def read_tlds(spark: SparkSession, path: str) -> DataFrame:
+    """(tld) of a list with one top-level domain a line, as IANA publishes it: `#` begins a comment; lower-cased."""
+    line = F.lower(F.trim("value"))
+    return spark.read.text(path).select(line.alias("tld")).where((F.col("tld") != "") & ~F.col("tld").startswith("#")).distinct()
+
+
+def read_suffix_rules(spark: SparkSession, path: str, private: bool = True) -> DataFrame:
+    """(rule) of a public suffix list: a rule is a line up to its first white space, `//` begins a comment. private: with the section of private domains."""
+    text = spark.read.text(path, wholetext=True)
+    if not private:
+        text = text.select(F.split_part("value", F.lit("===BEGIN PRIVATE DOMAINS==="), F.lit(1)).alias("value"))
+    lines = text.select(F.explode(F.split("value", r"\r?\n")).alias("line"))
+    return lines.select(F.lower(F.split(F.trim("line"), r"\s", 2)[0]).alias("rule")).where((F.col("rule") != "") & ~F.col("rule").startswith("//")).distinct()
+
+
 def _k(events: DataFrame) -> DataFrame:
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.functions.identity import level2
+from tallyloom.operators.numbering import in_order
 from tallyloom.operators.upsert import append_new, upsert
 from tallyloom.plans.rollup import append_first_seen, rebuild_first_seen
-from tallyloom.schema import DEDUP_KEY, KEYS
-from tallyloom.sources.storage import Store
+from tallyloom.schema import DEDUP_KEY, KEYS, UNKNOWN_DAY
+from tallyloom.sources.storage import Store, drop_path, scratch_path
 
 
 def deduplicated(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -27,25 +28,33 @@ def deduplicated(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return timed.unionByName(rows.where("createdAt is null"))
 
 
-def numbered(rows: DataFrame, after: int) -> DataFrame:
+def numbered(rows: DataFrame, after: int, scratch: str | None = None) -> DataFrame:
     """rows with ids from after + 1 on in the order of time; tasks number their range, so no task sorts all.
 
-    Ranges are cut by time; a range's first number is the sum of the sizes before it, of which there is one a task.
+    Rows of one time, creator, key, server and event follow each other in any order. scratch: where rows are kept
+    meanwhile; it may go once the result is stored.
     """
-    ranged = rows.drop("id").repartitionByRange("time_us", "creator_did", "rkey").sortWithinPartitions("time_us", "creator_did", "rkey").withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = ranged.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
-    return ranged.join(before, "task").withColumn("id", (F.col("place") + F.col("before") + after + 1).cast("int")).drop("task", "place", "before")
+    order = [c for c in ("time_us", "creator_did", "rkey", "server_did", "event") if c in rows.columns]
+    ranged = rows.drop("id").repartitionByRange(*order).sortWithinPartitions(*order)
+    return in_order(ranged, scratch).withColumn("id", (F.col("position") + after + 1).cast("int")).drop("position")
 
 
-def insert(store: Store, rows: DataFrame, position_us: int | None = None, service: str = "collection") -> None:
-    """Appends records and keeps the distinct sets, the first times and the position of the service."""
+def insert(store: Store, rows: DataFrame, position_us: int | None = None, service: str = "collection", tag: str | None = None) -> None:
+    """Appends records and keeps the distinct sets, the first times and the position of the service.
+
+    tag: names this batch. Records of a batch that was begun before under that name are taken out first, so that
+    a crash between two of the writes leaves nothing twice; the other writes add what isn't there or take minima.
+    """
     collection = store.table("collection")
-    lo, hi = rows.agg(F.min("createdAt"), F.max("createdAt")).first()
-    # Only records of the times that the batch has can repeat it; the bounds are pushed to the scan.
-    known = collection.read().where(F.col("createdAt").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
+    if tag:
+        collection.withdraw(tag)
+    unknown = F.lit(f"{UNKNOWN_DAY} 00:00:00").cast("timestamp_ntz")
+    told = F.when(F.col("createdAt") != unknown, F.col("createdAt"))
+    lo, hi = rows.agg(F.min(told), F.max(told)).first()
+    # Only records of the times that the batch has can repeat it; the bounds are pushed to the scan. The time that stands for an unknown one is no bound.
+    known = collection.read().where(F.col("createdAt").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")) | (F.col("createdAt") == unknown))
     begun = collection.exists()
-    collection.append(deduplicated(rows.select(*DEDUP_KEY), known))
+    collection.append(deduplicated(rows.select(*DEDUP_KEY), known), tag)
     for name, part, of in (("unique_did", rows, F.col("did")), ("collection_lv2", rows.where(F.col("collection").contains(".")), level2(F.col("collection")))):
         key = KEYS[name][0]
         kept = store.table(name)
@@ -72,14 +81,19 @@ def insert_events(store: Store, rows: DataFrame) -> None:
     logs = store.table("event_logs")
     old = logs.read()
     last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    logs.append(numbered(rows, last).select(*old.columns))
+    scratch = scratch_path(rows.sparkSession)
+    try:
+        logs.append(numbered(rows, last, scratch).select(*old.columns))
+    finally:
+        drop_path(rows.sparkSession, scratch)
 
 
 def stream(source: DataFrame, store: Store, checkpoint: str, to_records: Callable[[DataFrame], DataFrame], position: str | None = None, service: str = "collection", once: bool = True) -> StreamingQuery:
     """Feeds a streaming source into the store batch by batch; position names a column of source in microseconds.
 
-    A batch that is repeated after a failure inserts nothing twice: its keys are there already. Rows without a
-    time have no key, so the last batch's number is kept with the position and a batch not after it is skipped.
+    A batch that is repeated after a failure inserts nothing twice: its files carry its number and are taken out
+    before it is begun again, and the last whole batch's number is kept with the position, so that a batch not
+    after it is skipped.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -91,7 +105,7 @@ def stream(source: DataFrame, store: Store, checkpoint: str, to_records: Callabl
         batch = batch.persist()
         try:
             newest = batch.agg(F.max(position)).first()[0] if position else None
-            insert(store, to_records(batch), newest, service)
+            insert(store, to_records(batch), newest, service, f"{service}-{number}")
             _mark(store, mark, number)
         finally:
             batch.unpersist()

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 
 from tallyloom import schema
@@ -82,6 +83,8 @@ def test_feeds_that_collide_as_text(spark):
 def slow_tree(names, keys, tlds, only):
     """The tree built node by node, step by step."""
     root = {}
+    every = sorted({".".join(n.split(".")[:i]) for n in names for i in range(1, n.count(".") + 2)})
+    place = {n: i for i, (n,) in enumerate(duckdb.execute("SELECT x FROM (SELECT unnest(?) AS x) ORDER BY x COLLATE en_us, x", [every]).fetchall())}
     for name in sorted(names):
         parts = name.split(".")
         if len(parts) < 2:
@@ -119,7 +122,7 @@ def slow_tree(names, keys, tlds, only):
     out = set()
 
     def walk(level, parent, path):
-        for i, n in enumerate(sorted(level), 1):
+        for i, n in enumerate(sorted(level, key=place.get), 1):
             x = level[n]
             out.add((n, parent, len(n.split(".")), x["data"], x["key"], path + str(i)))
             walk(x["kids"], n, f"{path}{i}-")
@@ -131,7 +134,7 @@ def slow_tree(names, keys, tlds, only):
 @pytest.mark.parametrize("seed", range(3))
 def test_tree_matches_building_it_step_by_step(spark, seed):
     rng = random.Random(seed)
-    names = {".".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6))) for _ in range(60)}
+    names = {".".join(rng.choice(["a", "b", "c", "B", "a-b", "ab"]) for _ in range(rng.randrange(1, 6))) for _ in range(60)}
     keys = {n for n in names if rng.random() < 0.2} | {"a.b.nothing"}
     frame = spark.createDataFrame([(n,) for n in sorted(names)], "collection string")
     key_frame = spark.createDataFrame([(k,) for k in sorted(keys)], "rkey string")
@@ -223,6 +226,48 @@ def test_event_ids_go_on(spark, tmp_path):
     assert got.schema.simpleString() == spark.createDataFrame([], schema.TABLES["event_logs"]).schema.simpleString()
 
 
+@pytest.mark.parametrize("coalesce,partitions", [("true", "4"), ("false", "4"), ("true", "200")])
+def test_no_event_is_lost_or_numbered_twice(spark, tmp_path, coalesce, partitions):
+    logs = tables.event_logs_from_events(spark.read.parquet("/root/testdata/sf0.1/events.parquet"), zone=True)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        store = Store(spark, str(tmp_path / "s"))
+        ingest.insert_events(store, logs)
+        got = store.read("event_logs").toPandas().sort_values("id")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.id.tolist() == list(range(1, logs.count() + 1)) and got.time_us.is_monotonic_increasing
+    assert sorted(map(str, got.drop(columns="id").itertuples(index=False))) == sorted(map(str, logs.drop("id").toPandas().itertuples(index=False)))
+
+
+@pytest.mark.parametrize("step", ["unique_did", "append_first_seen", "_mark"])
+def test_a_batch_begun_before_leaves_nothing_twice(spark, tmp_path, monkeypatch, step):
+    records = tables.collection_from_events(spark.read.parquet(f"{SF}/events.parquet"))
+    store = Store(spark, str(tmp_path / "s"))
+    ingest.insert(store, records.where("rkey < 'r3'"), 5, tag="a-0")
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        if step == "unique_did":
+            m.setattr(ingest, "append_new", crash)
+        else:
+            m.setattr(ingest, step, crash)
+        with pytest.raises(RuntimeError):
+            ingest.insert(store, records, 7, tag="a-1")
+    ingest.insert(store, records, 7, tag="a-1")
+    want = Store(spark, str(tmp_path / "t"))
+    ingest.insert(want, records.where("rkey < 'r3'"), 5)
+    ingest.insert(want, records, 7)
+    for name in ("collection", "unique_did", "collection_lv2", "cursor"):
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, want.read(name).collect()))
+    assert rollup.stored_first_seen(store, "did").exceptAll(rollup.stored_first_seen(want, "did")).count() == 0
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

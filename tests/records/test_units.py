@@ -82,3 +82,21 @@ def test_upsert(spark):
     assert sorted(map(tuple, upsert(old, new.where("false"), ["day"]).collect())) == sorted(map(tuple, old.collect()))
     assert sorted(map(tuple, upsert(old.where("false"), new, ["day"], {"b": 0}).collect())) == [(date(2024, 1, 2), 9, 0), (date(2024, 1, 3), None, 0)]
     assert [r.day for r in append_new(old, new.union(new), ["day"]).collect()] == [date(2024, 1, 3)]
+
+
+def test_lists_as_they_are_published(spark, tmp_path):
+    (tmp_path / "tlds").write_text("# Version 1\nCOM\nXN--P1AI\n\n")
+    assert {r.tld for r in tables.read_tlds(spark, str(tmp_path / "tlds")).collect()} == {"com", "xn--p1ai"}
+    (tmp_path / "rules").write_text("// a list\n\n// ===BEGIN ICANN DOMAINS===\ncom\n*.ck  and more\n!www.ck\r\n// ===END ICANN DOMAINS===\n// ===BEGIN PRIVATE DOMAINS===\ngithub.io\n")
+    assert {r.rule for r in tables.read_suffix_rules(spark, str(tmp_path / "rules")).collect()} == {"com", "*.ck", "!www.ck", "github.io"}
+    assert {r.rule for r in tables.read_suffix_rules(spark, str(tmp_path / "rules"), private=False).collect()} == {"com", "*.ck", "!www.ck"}
+
+
+def test_a_repeated_day_takes_its_last_count(spark):
+    rows = spark.createDataFrame([(1, 9, 0), (1, 4, 1), (4, 2, 2)], "day int, count long, at int")
+    assert sorted(map(tuple, timeseries.gap_fill(rows, "at").collect())) == [(1, 4), (2, 0), (3, 0), (4, 2)]
+
+
+def test_labels_of_numbers_and_urls(spark):
+    assert column(spark, [1234567, 5, None], identity.grouped_number, "long") == ["1,234,567", "5", None]
+    assert column(spark, ["a b/c+é", "~!'()*-_.", None], identity.url_component) == ["a%20b%2Fc%2B%C3%A9", "~!'()*-_.", None]
