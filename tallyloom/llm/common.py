@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,34 +12,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.storage import drop_path, scratch_path
+
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
-#: Rows in an Arrow batch: with texts of a few KB some MB, with texts of 1 MB about 1 GB at worst.
-ARROW_ROWS = 1000
-#: Bytes of values after which a Python operator hands on what it has.
-FLUSH_BYTES = 8 << 20
+#: Bytes of an Arrow batch, about; a larger row is a batch of its own.
+ARROW_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset, as in tests, a folder of our own."""
-    set_already = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_already:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(set_already)
-        return set_already.rstrip("/")
-    own = tempfile.mkdtemp(prefix="tallyloom-")
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+#: Bytes of values after which a Python operator hands on what it has.
+FLUSH_BYTES = 8 << 20
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut, lost executors cost nothing already written."""
-    path = f"{shared_dir(df.sparkSession)}/tallyloom-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """materialise() for the steps of one operator, whose files go once its last step no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths.append((out, path))
+        return out
+
+    def adopt(self, other: Scratch) -> None:
+        self._paths += other._paths
+
+    def drop_but(self, *kept: DataFrame) -> None:
+        """Deletes what was written, but for the DataFrames that a result still reads."""
+        for df, path in self._paths:
+            if not any(df is k for k in kept):
+                drop_path(self.spark, path)
+        self._paths = [(df, path) for df, path in self._paths if any(df is k for k in kept)]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once a context, so that they needn't have it installed."""
     if spark.sparkContext not in _shipped:
@@ -52,11 +67,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Makes a session ready for Python over whole texts: the package is sent, and what one Arrow batch can hold is bounded, unless the session has set its own value."""
+    """Makes a session ready for Python over whole texts: the package is sent, and the bytes of an Arrow batch are bounded by ARROW_BYTES, unless the session's own bound is lower. The setting stays."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

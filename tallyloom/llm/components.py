@@ -5,36 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialise
+from tallyloom.llm.common import Scratch
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of each node that has an edge to another; root is the least node that can be reached, its own row included.
 
     Each round is two partial minima and two joins on the node and is written to the shared folder, so a
     hub of any degree costs no more than its rows and a lost executor repeats one round at most. The number
     of rounds grows with the logarithm of the longest chain. Nodes are longs; null ends are no edges.
+    Files of earlier rounds go; the last one's belongs to scratch, if one is given.
     """
-    now = materialise(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    kept = Scratch(edges.sparkSession)
+    now = kept(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     mark = _mark(now)
     for _ in range(rounds):
         if not mark[0]:
             break
         both = now.selectExpr("hi as u", "lo as v").unionAll(now.selectExpr("lo as u", "hi as v"))
         # Minima are written: then both sides of the joins are plain exchanges, and Spark can split a hub's rows among tasks.
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").selectExpr("v as hi", "m as lo").distinct()
-        large = materialise(large)
-        low = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        large = kept(large)
+        low = kept(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(low, "hi").where("lo <> m").selectExpr("lo as hi", "m as lo").unionAll(low.selectExpr("hi", "m as lo"))
-        now = materialise(small.distinct())
+        now = kept(small.distinct())
+        kept.drop_but(now)
         last, mark = mark, _mark(now)
         if mark == last:
             break
     else:
         raise RuntimeError("the components didn't settle")
+    kept.drop_but(now)
+    if scratch:
+        scratch.adopt(kept)
     return now.selectExpr("hi as node", "lo as root").unionAll(now.selectExpr("lo as node", "lo as root").distinct())
