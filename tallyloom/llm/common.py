@@ -17,7 +17,7 @@ from tallyloom.sources.storage import drop_path, scratch_path
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 #: Bytes of an Arrow batch, about; a larger row is a batch of its own.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 2 << 20
 
 
 #: Bytes of values after which a Python operator hands on what it has.
