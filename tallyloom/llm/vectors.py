@@ -59,6 +59,15 @@ def word_hashes(texts: list[bytes | None], table: np.ndarray = _PLAIN) -> tuple[
     return mix(hashes), owner, starts - first[owner] - 1, ends - first[owner] - 1
 
 
+def word_counts(texts: list[bytes | None], table: np.ndarray = _PLAIN) -> np.ndarray:
+    """The number of words of each text, as word_hashes parts them."""
+    first = np.concatenate([[0], np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))])
+    full = table[np.frombuffer(b" " + b" ".join([t or b"" for t in texts]) + b" ", np.uint8)] != 32
+    full[first] = False
+    starts = np.flatnonzero(full[1:] & ~full[:-1]) + 1
+    return np.diff(np.searchsorted(starts, first))
+
+
 def shingles(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each run of size words in one text, number of its first word)."""
     if len(words) < size:
