@@ -82,9 +82,8 @@ WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents
-), top AS (SELECT greatest(0, ceil(log2(greatest(1, sum(bytes) / {SHARD_BYTES}.0)))::INT - 1) AS base FROM d),
-depths AS (SELECT unnest(range(base, {shards.BITS + 1}))::INT AS depth FROM top),
-sums AS (SELECT depth, h >> ({shards.BITS} - depth) AS p, sum(bytes)::BIGINT AS shard_bytes FROM d, depths WHERE depth <= (SELECT base + 16 FROM top) GROUP BY ALL),
+), depths AS (SELECT unnest(range(0, {shards.BITS + 1}))::INT AS depth),
+sums AS (SELECT depth, h >> ({shards.BITS} - depth) AS p, sum(bytes)::BIGINT AS shard_bytes FROM d, depths GROUP BY ALL),
 fit AS (
   SELECT d.*, s.depth, s.shard_bytes, row_number() OVER (PARTITION BY d.doc_id, d.h ORDER BY s.depth) AS n
   FROM d JOIN sums s ON (d.h >> ({shards.BITS} - s.depth)) = s.p WHERE s.shard_bytes <= {SHARD_BYTES}
@@ -96,7 +95,8 @@ FROM fit WHERE n = 1
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(_table(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(secrets.default_samples(spark).unionAll(secrets.ordinary_words(docs))))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Sharding by extendible hashing.
 
-A directory maps prefixes of a row's hash to shards. All buckets begin at one depth; a bucket whose rows
-pass the byte limit is split on its next hash bit, others are left alone, until every shard fits. Sums of a
-few more bits are taken in one aggregation, so a round settles STEP levels at once; only rows of buckets
-that are still too large go through another round.
+A directory maps prefixes of a row's hash to shards. There is one bucket to begin with; a bucket whose rows
+pass the byte limit is split on its next hash bit, others are left alone, until every shard fits. What a bucket
+holds are sums by prefix: they are taken once, by a prefix about as long as the data need, and added up from
+there, STEP levels at a time; so the directory is found without moving a row, and rows are read again only for
+buckets that are still too large at that depth.
 
 Defined results: a null text counts 0 bytes, a null id hashes as the empty text; an empty table has no
 shards. Rows of one id are told apart by their texts. Rows alike in both have all bits in common: once the
@@ -18,12 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialise
+from tallyloom.llm.common import Scratch
 
 #: Bits of the hash: what 15 hexadecimal digits of an MD5 give.
 BITS = 60
-#: Levels that one round settles.
+#: Levels that one aggregation settles.
 STEP = 8
+#: Levels beyond those that equal buckets would need.
+SPARE = 4
 
 
 def row_hash(id_col: Column, text_col: Column) -> Column:
@@ -36,54 +39,64 @@ def prefix(depth: int) -> Column:
     return F.shiftright("h", BITS - depth)
 
 
-def _round(rows: DataFrame, depth: int, limit: int) -> DataFrame:
-    """(fine, depth, bytes): for each prefix of depth + STEP bits the first depth at which its bucket fits, null if none does.
+def _levels(sums: DataFrame, top: int, deep: int, limit: int) -> DataFrame:
+    """(fine, depth, shard_bytes) of (fine, bytes), sums by prefixes of `deep` bits: the first depth from top on at which the bucket of each fits, null if none does.
 
     The sums of all depths come from one exchange: a window by the shortest prefix also holds the longer ones.
     """
-    deep = min(BITS, depth + STEP)
-    sums = rows.groupBy(prefix(deep).alias("fine")).agg(F.sum("bytes").alias(f"s{deep}"))
     keys: list[Column] = []
-    for d in range(depth, deep):
+    sums = sums.withColumnRenamed("bytes", f"s{deep}")
+    for d in range(top, deep):
         keys.append(F.shiftright("fine", deep - d))
         sums = sums.withColumn(f"s{d}", F.sum(f"s{deep}").over(Window.partitionBy(*keys)))
     fits, held = F.lit(None).cast("int"), F.lit(None).cast("long")
-    for d in range(deep, depth - 1, -1):
+    for d in range(deep, top - 1, -1):
         fits = F.when(F.col(f"s{d}") <= limit, d).otherwise(fits)
         held = F.when(F.col(f"s{d}") <= limit, F.col(f"s{d}")).otherwise(held)
     return sums.select("fine", fits.alias("depth"), held.alias("shard_bytes"))
 
 
+def _directory(sums: DataFrame, top: int, deep: int, limit: int) -> DataFrame:
+    """_levels for any number of levels: sums of longer prefixes are added up to shorter ones, then what shorter ones settle holds for the longer."""
+    mid = max(top, deep - STEP)
+    own = _levels(sums, mid, deep, limit)
+    if mid == top:
+        return own
+    shorter = F.shiftright("fine", deep - mid)
+    above = _directory(sums.groupBy(shorter.alias("fine")).agg(F.sum("bytes").alias("bytes")), top, mid, limit).select(F.col("fine").alias("up"), F.col("depth").alias("up_depth"), F.col("shard_bytes").alias("up_bytes"))
+    return own.join(above, shorter == F.col("up")).select("fine", F.coalesce("up_depth", "depth").alias("depth"), F.coalesce("up_bytes", "shard_bytes").alias("shard_bytes"))
+
+
 def assign(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, bytes, shard, depth, shard_bytes, oversize) of each row. shard: the depth and the bits of the bucket, `depth:bits`, and `.run` where rows alike are cut into runs."""
-    rows = materialise(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"), row_hash(F.col(id_col), F.col(text_col).cast("string")).alias("h")))
+    kept = Scratch(df.sparkSession)
+    rows = kept(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"), row_hash(F.col(id_col), F.col(text_col).cast("string")).alias("h")))
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    depth = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit))) - 1))
+    top, deep = 0, min(BITS, math.ceil(math.log2(max(1, total / limit))) + SPARE)
     done: list[DataFrame] = []
     left = rows
     while True:
-        deep = min(BITS, depth + STEP)
-        found = materialise(_round(left, depth, limit))
+        found = kept(_directory(left.groupBy(prefix(deep).alias("fine")).agg(F.sum("bytes").alias("bytes")), top, deep, limit))
         open_now = found.where("depth is null").count()
-        # A directory has some 2 ** STEP entries a shard: about as many as the data have MB, so it is joined by key and not broadcast by force.
+        # A directory has some 2 ** SPARE entries a shard: fewer than rows, but it grows with the data, so it is joined by key and not broadcast by force.
         placed = left.withColumn("fine", prefix(deep)).join(found, "fine")
         done.append(placed.where("depth is not null").selectExpr("doc_id", "bytes", f"concat(depth, ':', lpad(bin(shiftright(h, {BITS} - depth)), depth, '0')) as shard", "depth", "shard_bytes", "false as oversize"))
         if not open_now:
             break
-        left = materialise(placed.where("depth is null").select("doc_id", "bytes", "h"))
+        left = kept(placed.where("depth is null").select("doc_id", "bytes", "h"))
         if deep == BITS:
-            done.append(_runs(left, limit))
+            done.append(_runs(kept, left, limit))
             break
-        depth = deep
+        top, deep = deep, min(BITS, deep + STEP)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def _runs(rows: DataFrame, limit: int) -> DataFrame:
+def _runs(kept: Scratch, rows: DataFrame, limit: int) -> DataFrame:
     """Rows that have all bits in common, so the same bytes: each task's rows are numbered and cut into runs that fit."""
-    dealt = materialise(rows.withColumn("part", F.spark_partition_id()))
+    dealt = kept(rows.withColumn("part", F.spark_partition_id()))
     numbered = dealt.withColumn("n", F.row_number().over(Window.partitionBy("h", "part").orderBy("bytes")) - 1)
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))))
     runs = numbered.withColumn("run", F.floor(F.col("n") / each).cast("long"))

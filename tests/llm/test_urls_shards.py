@@ -53,11 +53,7 @@ def slow_shards(rows, limit):
     """Buckets split one bit at a time."""
     bits = {i: format(int(hashlib.md5(f"{'' if k is None else k}:{t or ''}".encode()).hexdigest()[:15], 16), "060b") for i, (k, t) in enumerate(rows)}
     size = {i: len((t or "").encode()) for i, (_, t) in enumerate(rows)}
-    total = sum(size.values())
-    depth = 0
-    while (1 << (depth + 1)) < total / limit:
-        depth += 1
-    todo, out = [(depth, p, [i for i in bits if bits[i][:depth] == p]) for p in {b[:depth] for b in bits.values()}], {}
+    todo, out = [(0, "", list(bits))], {}
     while todo:
         d, p, own = todo.pop()
         if sum(size[i] for i in own) <= limit:
@@ -78,6 +74,18 @@ def test_shards_match_splitting_one_bit_at_a_time(spark):
     assert shards.assign(df.where("false"), 10).count() == 0
 
 
+def test_only_oversized_buckets_split(spark):
+    rows = [(0, "x" * 20_000_000)] + [(i, "y" * 100) for i in range(1, 399)]
+    got = shards.assign(spark.createDataFrame(rows, "doc_id long, text string"), 100_000).collect()
+    large = next(r for r in got if r.doc_id == 0)
+    assert large.oversize and large.depth == shards.BITS
+    small = {r.shard: r.depth for r in got if r.doc_id}
+    # The small rows would fit one shard: they are parted only along the large one's bits.
+    assert len(small) <= 12 and sorted(small.values())[:3] == [1, 2, 3]
+    want = slow_shards(rows[1:], 100_000)
+    assert {s for s, _ in want.values()} == {"0:"}
+
+
 def test_rows_alike_and_rows_too_large(spark):
     rows = [(1, "y" * 100)] * 95 + [(2, "z" * 5000), (3, "a")]
     got = shards.assign(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()
