@@ -1,12 +1,13 @@
 """Secret scans in SQL expressions: three fixed forms, and character Markov models for the rest.
 
 Spans of a form are found without a parser: the text is split at the matches, and the lengths of the gaps
-and of the matches add up to positions, in code points. Long tokens that hold a digit and a letter are then
+and of the matches add up to positions, in code points and in bytes. Tokens of 16 characters or more are then
 weighed by two first-order Markov models, of random strings and of ordinary identifiers: the sum of the
 logarithms of their ratios, character by character, has to pass THRESHOLD.
 
 The models are trained from labelled samples by counting pairs of characters. The default samples are made
-by a rule: digests in several alphabets, and joined words in the styles of identifiers, with numbers.
+by a rule: digests in several alphabets, and joined words in the styles of identifiers, with numbers; to these
+ordinary_words() adds words of a corpus, of a bounded number of its texts.
 
 Defined results: a null text is an empty one. Other columns are ignored. Spans may overlap; redact() joins
 those that do.
@@ -25,8 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "markov")
-#: Tokens that the models weigh: at least this long, with a digit and a letter.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that the models weigh: shorter ones hold too few pairs of characters for odds like THRESHOLD.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 #: Natural logarithm of the odds that the evidence must pass: a thousand to one.
 THRESHOLD = math.log(1000)
 SYMBOLS = 67
@@ -51,6 +52,14 @@ def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return ids.select(of(ordinary, 6).alias("text"), F.lit(False).alias("random")).unionAll(ids.select(of(chance, 6).alias("text"), F.lit(True).alias("random")))
 
 
+def ordinary_words(docs: DataFrame, texts: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, random): words of ASCII letters, six or more, of the texts whose ids have the least hashes; all count as ordinary."""
+    first = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(texts)
+    some = docs.join(F.broadcast(first), docs[id_col] == first["id"], "left_semi")  # `texts` ids at most
+    words = some.select(F.explode(F.expr(f"regexp_extract_all(coalesce(cast(`{text_col}` as string), ''), r'(?<![A-Za-z])[A-Za-z]{{6,}}(?![A-Za-z])', 0)")).alias("text"))
+    return words.distinct().select("text", F.lit(False).alias("random"))
+
+
 def _code(text: Column, at: Column) -> Column:
     return F.ascii(F.substring(text, at, F.lit(1)))
 
@@ -71,18 +80,51 @@ def train(samples: DataFrame, text_col: str = "text", label_col: str = "random")
     return [chance(True, p) - chance(False, p) for p in range(128 * 128)]
 
 
+#: Matches that are added up in one go: an array of results is copied once for each, so long arrays are built of shorter ones.
+BLOCK = 256
+NONE = "cast(array() as array<struct<s:int,k:int,e:int,bs:int,be:int>>)"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """body with name for value, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _scan(items: str, start: str, step: str, out: str, kind: str, join: str) -> str:
+    """The array of `out` for each x of items, where a is what `step` has made of `start` and all items before, in time linear but for BLOCK.
+
+    join: what `step` makes of a over a whole block whose own result is t. kind: the type of out's elements.
+    """
+    empty = f"cast(array() as array<{kind}>)"
+    fold = f"aggregate(block, {start}, (a, x) -> {step})"
+    begins = f"aggregate(blocks, named_struct('a', {start}, 'out', cast(array() as array<{START_TYPE}>)), (b, block) -> named_struct('a', {_let('t', fold, _let('a', 'b.a', join))}, 'out', concat(b.out, array(b.a))), b -> b.out)"
+    each = f"aggregate(block, named_struct('a', first, 'out', {empty}), (b, x) -> {_let('a', 'b.a', f'named_struct({chr(39)}a{chr(39)}, {step}, {chr(39)}out{chr(39)}, concat(b.out, array({out})))')}, b -> b.out)"
+    blocks = f"transform(if(size(items) = 0, cast(array() as array<int>), sequence(0, (size(items) - 1) div {BLOCK})), i -> slice(items, i * {BLOCK} + 1, {BLOCK}))"
+    return _let("items", items, _let("blocks", blocks, f"flatten(zip_with(blocks, {begins}, (block, first) -> {each}))"))
+
+
+START_TYPE = "struct<c:int,b:int>"
+
+
 def _spans(text: Column, pattern: str, kind: int, keep: str = "true", group: int = 0) -> Column:
-    """The spans (s, k, e) of the matches of pattern; keep: a condition on x.val, the group's text."""
+    """The spans (s, k, e) of the matches of pattern, with their places in bytes (bs, be); keep: a condition on x.val, the group's text."""
     quoted = "r'" + pattern.replace("'", "\\x27") + "'"
-    none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
-    found = F.expr(
-        f"aggregate(zip_with(split(_text, {quoted}, -1), zip_with(regexp_extract_all(_text, {quoted}, 0), regexp_extract_all(_text, {quoted}, {group}), (h, v) -> named_struct('hit', h, 'val', v)), "
-        "(g, m) -> named_struct('gap', g, 'hit', m.hit, 'val', m.val)), "
-        f"named_struct('at', 0, 'out', {none}), "
-        f"(a, x) -> named_struct('at', a.at + length(x.gap) + coalesce(length(x.hit), 0), 'out', if(x.hit is not null and ({keep}), "
-        f"concat(a.out, array(named_struct('s', a.at + length(x.gap), 'k', {kind}, 'e', a.at + length(x.gap) + length(x.hit)))), a.out)), a -> a.out)"
+    hits = f"regexp_extract_all(_text, {quoted}, 0)"
+    vals = f"regexp_extract_all(_text, {quoted}, {group})" if group else hits
+    items = (
+        f"zip_with(slice(split(_text, {quoted}, -1), 1, size(hits)), zip_with(hits, {vals if group else 'hits'}, (h, val) -> named_struct('h', h, 'x', named_struct('val', val))), "
+        f"(g, m) -> named_struct('g', length(g), 'gb', octet_length(g), 'h', length(m.h), 'hb', octet_length(m.h), 'ok', {_let('x', 'm.x', keep)}))"
+    )
+    found = _scan(
+        "items_of",
+        "named_struct('c', 0, 'b', 0)",
+        "named_struct('c', a.c + x.g + x.h, 'b', a.b + x.gb + x.hb)",
+        f"if(x.ok, named_struct('s', a.c + x.g, 'k', {kind}, 'e', a.c + x.g + x.h, 'bs', a.b + x.gb, 'be', a.b + x.gb + x.hb), cast(null as struct<s:int,k:int,e:int,bs:int,be:int>))",
+        "struct<s:int,k:int,e:int,bs:int,be:int>",
+        "named_struct('c', a.c + t.c, 'b', a.b + t.b)",
     )
-    return F.when(F.col("_text").rlike(pattern), found).otherwise(F.expr(none))
+    expr = _let("hits", hits, _let("items_of", items, f"filter({found}, x -> x is not null)"))
+    return F.when(F.col("_text").rlike(pattern), F.expr(expr)).otherwise(F.expr(NONE))
 
 
 def spans(df: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
@@ -110,12 +152,21 @@ def report(df: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
 
 
 def redact(df: DataFrame, model: list[float], text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """df with each run of overlapping spans in its text replaced by MARK, and with chars_col set to the new length; null texts stay null."""
-    cut = F.expr(
-        "aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> if(x.s >= a.at, "
-        f"named_struct('at', x.e, 'out', concat(a.out, substring(_text, a.at + 1, x.s - a.at), '{MARK}')), "
-        "named_struct('at', greatest(a.at, x.e), 'out', a.out)), a -> concat(a.out, substring(_text, a.at + 1)))"
+    """df with each run of overlapping spans in its text replaced by MARK, and with chars_col set to the new length; null texts stay null.
+
+    Texts are cut by bytes, which takes no search, and joined once.
+    """
+    # Of each span the end of all before it, and of all together; a span that begins no earlier ends a piece that stays.
+    pieces = _scan(
+        "_spans",
+        "named_struct('c', 0, 'b', 0)",
+        "named_struct('c', greatest(a.c, x.e), 'b', greatest(a.b, x.be))",
+        "if(x.s >= a.c, named_struct('from', a.b, 'to', x.bs), cast(null as struct<from:int,to:int>))",
+        "struct<from:int,to:int>",
+        "named_struct('c', greatest(a.c, t.c), 'b', greatest(a.b, t.b))",
     )
+    rest = "named_struct('from', array_max(transform(_spans, x -> x.be)), 'to', octet_length(_text))"
+    cut = F.expr(_let("bytes", "cast(_text as binary)", f"array_join(transform(concat(filter({pieces}, p -> p is not null), array({rest})), p -> cast(substring(bytes, p.from + 1, p.to - p.from) as string)), '{MARK}')"))
     found = spans(df, model, text_col)
     hit = F.size("_spans") > 0
     new = {text_col: F.when(hit, cut).otherwise(F.col("row")[text_col])}
