@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
-    return secrets.redact(docs, secrets.train(secrets.default_samples(spark)), chars_col="n_chars" if "n_chars" in docs.columns else None)
+    return secrets.redact(docs, secrets.train(secrets.default_samples(spark).unionAll(secrets.ordinary_words(docs))), chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
