@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 with block-max WAND, then shingle overlap.
 
 The test items are few, the corpus is not, so the items are indexed and every training passage is a query.
-A passage is two neighbouring chunks of a text, each as long as the longest item: an item's span lies in
-one passage whole. The index holds postings by term with the largest impact of each term in each block of
+A passage is three neighbouring chunks of a text, each as long as the longest question of all: a question's
+span lies in one passage whole, and so does any copy drawn out to twice that length. The index holds postings by term with the largest impact of each term in each block of
 items. A passage is first weighed against all blocks at once: the sum of its terms' block maxima bounds
 every score in the block. Where a block may pass, WAND with block maxima finds all items above threshold.
 
@@ -11,11 +11,15 @@ terms than shingles can be missing, so the item's own score less its largest imp
 may be missing. So no item that verification would accept is lost.
 
 An item is verified by the share of the distinct five-word shingles of its question that the passage holds,
-and of its answer, if there is one. Words are runs of characters other than ASCII punctuation and white
-space, lower-cased.
+and of its answer, if there is one, that the whole text holds, as answers may stand apart. A question or answer
+of fewer words is one shingle of its own length: its words have to follow each other somewhere. Words are runs of
+characters other than ASCII punctuation and white space, lower-cased.
 
-Defined results: null texts and items, and items of fewer words than a shingle, match nothing; an answer
-that short isn't tested. Repeated items are reported each, repeated documents each; a null id stays null.
+Many items are cut into slices, each an index of its own; frequencies of terms, mean length and passages are
+those of all items, so that results don't depend on the slices.
+
+Defined results: null texts and items, and questions without words, match nothing; an answer without words
+isn't tested. Repeated items are reported each, repeated documents each; a null id stays null. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -48,25 +52,47 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([None if t is None else t.lower().encode("utf-8", "surrogatepass") for t in texts])[:2]
 
 
+class Statistics:
+    """What all slices have in common: frequencies of terms, mean length, longest question."""
+
+    def __init__(self, questions: list[str | None]):
+        hashes, owner = _words(questions)
+        lengths = np.bincount(owner, minlength=len(questions))
+        pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1) if len(hashes) else np.empty((2, 0), np.uint64)
+        self.terms, self.frequency = np.unique(pairs[0], return_counts=True)
+        self.items, self.words, self.longest = len(questions), int(lengths.sum()), int(lengths.max(initial=0))
+
+    def __add__(self, other: Statistics) -> Statistics:
+        out = Statistics([])
+        out.terms, at = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
+        out.frequency = np.bincount(at, np.concatenate([self.frequency, other.frequency]), len(out.terms)).astype(np.int64)
+        out.items, out.words, out.longest = self.items + other.items, self.words + other.words, max(self.longest, other.longest)
+        return out
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        n = self.frequency[np.searchsorted(self.terms, terms)]
+        return np.log1p((self.items - n + 0.5) / (n + 0.5))
+
+
+def _parts(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """(size of a shingle, distinct shingles) of a question or an answer."""
+    size = min(SHINGLE, max(1, len(words)))
+    return size, np.unique(shingles(words, np.zeros(len(words), np.int64), size)[0])
+
+
 class Index:
-    def __init__(self, ids: list, questions: list[str | None], answers: list[str | None]):
+    def __init__(self, ids: list, questions: list[str | None], answers: list[str | None], whole: Statistics | None = None):
         self.ids, n = ids, len(ids)
-        parts = [*_words(questions)], [*_words(answers)]
-        self.sets: list[tuple[np.ndarray, np.ndarray]] = []
-        words: list[np.ndarray] = []
-        for i in range(n):
-            own = [h[o == i] for h, o in parts]
-            self.sets.append(tuple(np.unique(shingles(h, np.zeros(len(h), np.int64), SHINGLE)[0]) for h in own))
-            # Only what verification tests is indexed: a part without shingles isn't needed in a passage.
-            tested = [h for h, s in zip(own, self.sets[i], strict=True) if len(s)]
-            words.append(np.concatenate(tested) if tested and len(self.sets[i][0]) else np.empty(0, np.uint64))
+        whole = whole or Statistics(questions)
+        (asked, of), (told, by) = _words(questions), _words(answers)
+        words = [asked[of == i] for i in range(n)]
+        self.sets = [(_parts(w), _parts(told[by == i])) for i, w in enumerate(words)]
         length = np.array([len(w) for w in words], np.float64)
-        self.chunk = max(CHUNK, int(length.max(initial=0)))
+        self.chunk = max(CHUNK, whole.longest)
         self.terms = np.unique(np.concatenate(words)) if n else np.empty(0, np.uint64)
         at = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for w in words]
-        frequency = np.bincount(np.concatenate([t for t, _ in at]) if n else np.empty(0, np.int64), minlength=len(self.terms))
-        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-        mean = max(1.0, length.mean()) if n else 1.0
+        idf = whole.idf(self.terms)
+        mean = max(1.0, whole.words / max(1, whole.items))
         self.size = max(ITEMS, -(-n // BLOCKS))
         self.most = np.zeros((len(self.terms) + 1, -(-n // self.size) if n else 0), np.float32)
         self.least = np.full(n, np.inf)
@@ -76,13 +102,13 @@ class Index:
             for term, x in zip(t.tolist(), impact.tolist(), strict=True):
                 rows[term].append((i, x))
             np.maximum.at(self.most, (t, i // self.size), (impact * (1 + 1e-6)).astype(np.float32))
-            missing = sum(int((1 - OVERLAP) * len(s) + 1e-9) for s in self.sets[i])
+            missing = int((1 - OVERLAP) * len(self.sets[i][0][1]) + 1e-9)
             if len(t):
                 self.least[i] = np.sort(impact)[: len(impact) - missing].sum() * (1 - 1e-6)
         self.postings = [(np.array([i for i, _ in r], np.int64), np.array([x for _, x in r])) for r in rows]
         self.block_least = np.array([self.least[b : b + self.size].min() for b in range(0, n, self.size)])
         # Maxima rounded up to steps so small that a passage's sum fits an integer of two bytes; four if the steps would be coarse.
-        largest = np.sort(self.most.max(1, initial=0))[::-1][: 2 * self.chunk].sum() if n else 1.0
+        largest = np.sort(self.most.max(1, initial=0))[::-1][: 3 * self.chunk].sum() if n else 1.0
         steps = 65_000 / max(1e-9, float(largest)) - 1
         kind, self.steps = (np.uint16, steps) if steps >= 16 else (np.uint32, 1024.0)
         self.rounded = np.ceil(self.most * self.steps).astype(kind)
@@ -129,8 +155,8 @@ class Index:
         return out
 
     def search(self, texts: list[str | None]) -> dict[tuple[int, int], tuple[float, float, float | None, int]]:
-        """(text, item) -> best (share of the question, of the answer, score, first word of the passage) of verified items."""
-        found: dict[tuple[int, int], tuple[float, float, float | None, int]] = {}
+        """(text, item) -> best (share of the question, of the answer (-1: none), score, first word of the passage) of verified items."""
+        found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
         if not len(self.block_least):
             return found
         hashes, owner = _words(texts)
@@ -140,13 +166,13 @@ class Index:
         first = np.searchsorted(owner, np.arange(len(texts)))
         place = np.arange(len(hashes)) - first[owner]
         starts = np.flatnonzero(place % self.chunk == 0)  # first words of chunks
-        joined = np.append(owner[starts[1:]] == owner[starts[:-1]], False)  # this chunk and the next are in one text
+        joined = [np.append(owner[starts[d:]] == owner[starts[:-d]], [False] * d)[: len(starts)] for d in (1, 2)]  # this chunk and the next but d are in one text
         known = term < len(self.terms)
         chunk = np.searchsorted(starts, np.flatnonzero(known), "right") - 1
         term = term[known]
-        after = (chunk > 0) & joined[chunk - 1]
-        # The distinct terms of each passage, which is a chunk and the next one.
-        pairs = np.sort(np.concatenate([chunk, chunk[after] - 1]) * len(self.terms) + np.concatenate([term, term[after]]))
+        # The distinct terms of each passage, which is a chunk and the next two of its text.
+        after = [(chunk >= d) & joined[d - 1][chunk - d] for d in (1, 2)]
+        pairs = np.sort(np.concatenate([chunk, *(chunk[a] - d for d, a in enumerate(after, 1))]) * len(self.terms) + np.concatenate([term, *(term[a] for a in after)]))
         pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
         passage, term = np.divmod(pairs, len(self.terms))
         cut = np.searchsorted(passage, np.arange(len(starts) + 1))
@@ -158,15 +184,20 @@ class Index:
             lo, hi = int(cut[filled[a]]), int(cut[filled[b - 1] + 1])
             weight[filled[a:b]] = np.add.reduceat(self.rounded[term[lo:hi]], cut[filled[a:b]] - lo, axis=0, dtype=self.rounded.dtype)
             a = b
+        def share(part: tuple[int, np.ndarray], lo: int, hi: int) -> float:
+            return float(np.isin(part[1], shingles(hashes[lo:hi], owner[lo:hi], part[0])[0]).mean()) if len(part[1]) else -1.0
+
         for c, block in np.argwhere(weight >= self.rounded_least[None, :]).tolist():
-            lo, end = int(starts[c]), c + 1 + int(joined[c])
+            lo, end = int(starts[c]), c + 1 + int(joined[0][c]) + int(joined[1][c])
             hi = int(starts[end]) if end < len(starts) else len(hashes)
             for item, score in self.retrieve(term[cut[c] : cut[c + 1]], block):
-                held = np.unique(shingles(hashes[lo:hi], owner[lo:hi], SHINGLE)[0])
-                share = [np.isin(s, held).mean() if len(s) else None for s in self.sets[item]]
-                if share[0] >= OVERLAP and (share[1] is None or share[1] >= OVERLAP):
-                    key = (int(owner[lo]), item)
-                    found[key] = max(found.get(key, (0.0,)), (float(share[0]), -1.0 if share[1] is None else float(share[1]), score, int(place[lo])))
+                question, answer = self.sets[item]
+                asked = share(question, lo, hi)
+                if asked >= OVERLAP:
+                    text = int(owner[lo])
+                    told = share(answer, int(first[text]), int(np.searchsorted(owner, text, "right")))
+                    if told < 0 or told >= OVERLAP:
+                        found[text, item] = max(found.get((text, item), (0.0,)), (asked, told, round(score, 6), int(place[lo])))
         return found
 
 
@@ -176,12 +207,13 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", question_col: str = "
     size = F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0)) + 64
     total = rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
     slices = -(-total // SLICE_BYTES)
-    out = []
+    taken, whole = [], Statistics([])
     for s in range(slices):
         got = sorted(rows.where(F.pmod(F.xxhash64("q", "item"), F.lit(slices)) == s).collect(), key=lambda r: (r.item is None, r.item, r.q, r.a or ""))
         if got:
-            out.append(Index([r.item for r in got], [r.q for r in got], [r.a for r in got]))
-    return out
+            taken.append(([r.item for r in got], [r.q for r in got], [r.a for r in got]))
+            whole += Statistics(taken[-1][1])
+    return [Index(*t, whole) for t in taken]
 
 
 def leaks(df: DataFrame, benchmark: list[Index], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
