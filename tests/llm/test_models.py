@@ -21,44 +21,71 @@ def docs(rng, n=240):
     return out
 
 
-def slow_phrases(text, sample, table):
-    """Greedy longest phrases of a block found by search."""
-    text, sample = bytes(language_id.symbols(text, table)), bytes(sample)
-    n = 0
-    for a in range(0, len(text), language_id.BLOCK):
-        block, i = text[a : a + language_id.BLOCK], 0
-        while i < len(block):
-            j = i + 1
-            if block[i:j] in sample:
-                while j < len(block) and block[i : j + 1] in sample:
-                    j += 1
-            i = j
-            n += 1
+def slow_phrases(text, sample):
+    """Greedy longest phrases of the whole text found by search."""
+    text, sample = "".join(map(chr, text.tolist())), "".join(map(chr, sample.tolist()))
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        i, n = j, n + 1
     return n
 
 
-def test_phrases_are_the_longest(monkeypatch):
-    monkeypatch.setattr(language_id, "BLOCK", 64)
-    samples = {k: [v + " " + v[::-1]] for k, v in WORDS.items()}
+SCRIPTS = {"ru": "".join(map(chr, range(0x430, 0x450))), "el": "".join(map(chr, range(0x3B1, 0x3C9))), "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 900))), "ja": "".join(map(chr, range(0x4E00 + 500, 0x4E00 + 1000))) + "".join(map(chr, range(0x3041, 0x3090))), "en": "abcdefghijklmnopqrstuvwxyz"}
+
+
+def in_script(rng, lang, n):
+    letters = SCRIPTS[lang]
+    return "".join(" " if rng.random() < 0.15 else letters[min(int(rng.expovariate(6 / len(letters))), len(letters) - 1)] for _ in range(n))
+
+
+@pytest.mark.parametrize("block,ahead", [(64, 8), (256, 64), (1024, 128)])
+def test_phrases_are_the_longest_of_whole_texts(monkeypatch, block, ahead):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    monkeypatch.setattr(language_id, "AHEAD", ahead)
+    rng = random.Random(1)
+    samples = {k: [in_script(rng, k, 1500), in_script(rng, k, 700)] for k in SCRIPTS}
     model = language_id.Model(samples)
     table = language_id.classes(model.alphabet)
-    rng = random.Random(1)
-    texts = [" ".join(rng.choice(" ".join(WORDS.values()).split()) for _ in range(n)) for n in (1, 5, 40, 90)] + ["a", "ž ž", "..a,,"]
-    got = model.phrases([language_id.symbols(t, table) for t in texts])
+    texts = [in_script(rng, k, 10_000) for k in SCRIPTS] + [" ".join(in_script(rng, rng.choice(list(SCRIPTS)), 60) for _ in range(60))]
+    # Copies of what was learned, loops, single letters, letters that no language has, lengths at a stretch's end.
+    texts += [samples["en"][0], samples["zh"][1] + samples["zh"][0] * 2, "so on " * 700, "a", "ž ž", "..a,,", "", "ж" * 3000, samples["ru"][0][100:] + "ü" + samples["ru"][0]]
+    texts += [in_script(rng, "en", n).replace(" ", "e") for n in (block - 1, block, block + 1, block + ahead, 2 * block, 2 * block + 1)]
+    cut = [language_id.symbols(t, table) for t in texts]
+    got = model.phrases(cut)
     for k, lang in enumerate(model.langs):
-        sample = np.concatenate([np.append(language_id.symbols(t, table), 0) for t in samples[lang]]).astype(np.uint8)
-        want = [slow_phrases(t, sample, table) for t in texts]
-        assert got[k].tolist() == want
+        sample = np.concatenate([np.append(language_id.symbols(t, table), 0) for t in samples[lang]])
+        assert got[k].tolist() == [slow_phrases(t, sample) for t in cut]
+    assert model.predict(texts[:5])[0] == list(SCRIPTS)
 
 
-def test_phrases_without_foreign_symbols_are_exact():
-    sample = "abcabcabd"
-    model = language_id.Model({"x": [sample]})
-    table = language_id.classes(model.alphabet)
+def test_every_language_and_letter_is_learned(spark):
     rng = random.Random(2)
-    for _ in range(200):
-        t = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40)))
-        assert model.phrases([language_id.symbols(t, table)])[0, 0] == slow_phrases(t, np.append(language_id.symbols(sample, table), 0).astype(np.uint8), table)
+    tongues = {f"l{i:03}": ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3)) for _ in range(12)] for i in range(230)}
+    rows = [(i, "".join(rng.choice(tongues[lang]) for _ in range(80)), lang) for i, lang in enumerate(list(tongues) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert len(model.langs) >= 228
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if lang in model.langs]) > 0.99
+
+
+def test_samples_are_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 100)
+    rows = [(i, "abc def " * 5, "short") for i in range(1, 30)] + [(40 + i, "xyz " * (50 + i), "long") for i in range(10)] + [(60, "pq", "both"), (61, "rs" * 200, "both"), (62, "rs" * 201, "both"), (63, "rs" * 203, "both")]
+    learned = {}
+    monkeypatch.setattr(language_id, "Model", lambda samples: learned.update(samples))
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {t for _, t, _ in rows}
+    assert all(t in texts for own in learned.values() for t in own)
+    assert len(learned["short"]) == 2 and len(learned["long"]) == 1 and (held(60) or learned["both"] == ["pq"])
+
+
+def test_equal_entropies_go_to_the_first_name():
+    model = language_id.Model({"b": ["abab"], "a": ["abab"], "c": ["zzzz"]})
+    assert model.predict(["abab ab", "q", None]) == (["a", "a", "und"], [0.0, 0.0, 0.0])
 
 
 def test_language_operator(spark):
