@@ -1,8 +1,8 @@
 """Quality by the votes of nearest neighbours in a latent-semantic space.
 
-Terms are pairs of neighbouring byte classes (letters by case and sound, digits, each mark of its own) and
-words that repeat one of the two before them. Their weighted counts in a sample of labelled texts are
-factored; the labelled vectors are broadcast, and each text is compared with all of them, block by block,
+Terms are words (by a hash, in WORDS terms), pairs of neighbouring byte classes (letters by case and sound,
+digits, each mark of its own) and words that repeat one of the two before them. Their weighted counts in a sample
+of labelled texts are factored, words and signs having the same weight together; the labelled vectors are broadcast, and each text is compared with all of them, block by block,
 by exact cosines. The NEIGHBOURS nearest vote for their label by their similarity; those as near as the
 last of them vote too, so ties need no order.
 
@@ -10,7 +10,7 @@ Learned: at most SAMPLE rows a label, chosen by a hash of the id among labelled
 
 Defined results: a null, empty or otherwise term-less text gets the share of label 1 among labelled rows;
 so does every text if one of the labels has no row. Rows that label a document twice count by their mean
-(half: label 1). Null labels and ids are left out of learning.
+(half: label 1). Null labels and ids are left out of learning. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ NEIGHBOURS = 15
 THRESHOLD = 0.3
 #: Texts compared at a time with all labelled vectors.
 ROWS = 512
+#: Terms of words.
+WORDS = 1024
 #: Weight of the terms for repeated words, of which there are few kinds.
 REPEAT = 3.0
 
@@ -58,7 +60,8 @@ def _byte_classes() -> tuple[np.ndarray, int]:
 
 
 CLASS, CLASSES = _byte_classes()
-TERMS = CLASSES * CLASSES + 3
+SIGNS = CLASSES * CLASSES
+TERMS = SIGNS + WORDS + 3
 
 
 def counts(texts: list[bytes | None]) -> np.ndarray:
@@ -67,9 +70,10 @@ def counts(texts: list[bytes | None]) -> np.ndarray:
     for i, t in enumerate(texts):
         if t and len(t) > 1:
             x = CLASS[np.frombuffer(t, np.uint8)]
-            out[i, : TERMS - 3] = np.bincount(x[:-1] * CLASSES + x[1:], minlength=TERMS - 3) / (len(t) - 1)
+            out[i, :SIGNS] = np.bincount(x[:-1] * CLASSES + x[1:], minlength=SIGNS) / (len(t) - 1)
     h, owner, _, _ = word_hashes(texts)
     total = np.bincount(owner, minlength=len(texts))
+    out[:, SIGNS:-3] = np.bincount(owner * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=len(texts) * WORDS).reshape(-1, WORDS) / np.maximum(1, total)[:, None]
     for gap in (1, 2):
         again = (h[gap:] == h[:-gap]) & (owner[gap:] == owner[:-gap])
         out[:, TERMS - 4 + gap] = np.bincount(owner[gap:][again], minlength=len(texts)) / np.maximum(1, total)
@@ -87,8 +91,13 @@ class Model:
         self.used = np.flatnonzero(present)  # terms that no labelled text has lie outside the space
         self.weight = weight[self.used]
         x = self._unit(terms[:, self.used] * self.weight)
-        values, vectors = np.linalg.eigh(x.T @ x)
-        keep = np.argsort(values)[::-1][: min(DIMENSIONS, len(values))]
+        # The widest axes by subspace iteration from a fixed start.
+        k = min(DIMENSIONS, len(self.used), len(x))
+        axes = np.linalg.qr(np.random.default_rng(0).normal(size=(len(self.used), min(2 * k, len(self.used), len(x)))))[0]
+        for _ in range(12):
+            axes = np.linalg.qr(x.T @ (x @ axes))[0]
+        values, turned = np.linalg.eigh((x @ axes).T @ (x @ axes))
+        vectors, keep = axes @ turned, np.argsort(values)[::-1][:k]
         self.axes = vectors[:, keep] * np.where(np.abs(vectors[:, keep]).max(0) == vectors[:, keep].max(0), 1.0, -1.0)
         self.vectors = self._unit(x @ self.axes)
 
