@@ -36,6 +36,10 @@ MAGIC = b"PCM8BIT\0"
 PAGE = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
 
+# How first packets of common streams begin, the format and place of their rate, and Opus's fixed one.
+HEADS = ((b"\x01vorbis", "<I", 12), (b"Speex   ", "<I", 36), (b"\x7fFLAC", ">I", 27))
+OPUS, OPUS_RATE = b"OpusHead", 48_000
+
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
@@ -98,11 +102,24 @@ def pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, int, int] |
         at = len(data) if found < 0 else found
 
 
+def timing(head: bytes) -> tuple[int | None, int, bool]:
+    """(granules a second, granule position at which time begins, whether one byte is one sample) of a stream by its first packet."""
+    if len(head) == HEAD.size and head.startswith(MAGIC):
+        return HEAD.unpack(head)[1] or None, 0, True
+    if head.startswith(OPUS) and len(head) >= 12:
+        return OPUS_RATE, int.from_bytes(head[10:12], "little"), False
+    for begin, form, at in HEADS:
+        if head.startswith(begin) and len(head) >= at + 4:
+            rate = struct.unpack_from(form, head, at)[0]
+            return (rate >> 12 if begin == b"\x7fFLAC" else rate) or None, 0, False  # FLAC's has 20 bits
+    return None, 0, False
+
+
 def read(data: bytes | None) -> tuple[list[tuple[int, int, bytes, int | None]], dict[str, int]]:
     """((serial, number of the packet in its stream, bytes, granule position of its end), ...) and counts of pages, bad places and lost packets.
 
-    The end of a packet is known where its page gives it; packets before it on the page end earlier by the
-    lengths of those between, as one sample is one byte.
+    The end of a packet is known where its page gives it, so that of the last one that ends there. In streams of
+    which one byte is one sample, packets before it end earlier by the lengths of those between.
     """
     out: list[tuple[int, int, bytes, int | None]] = []
     count = {"pages": 0, "bad": 0, "lost": 0, "streams": 0}
@@ -115,7 +132,7 @@ def read(data: bytes | None) -> tuple[list[tuple[int, int, bytes, int | None]],
         count["pages"] += 1
         s = state.get(serial)
         if s is None:
-            s = state[serial] = {"next": number, "part": None, "packets": 0}
+            s = state[serial] = {"next": number, "part": None, "packets": 0, "plain": False}
         if number != s["next"] and s["part"] is not None:
             s["part"] = None
             count["lost"] += 1
@@ -141,9 +158,11 @@ def read(data: bytes | None) -> tuple[list[tuple[int, int, bytes, int | None]],
         s["part"] = part + data[start:end] if open_now and not skip else None
         ends: list[int | None] = []
         left = granule if granule >= 0 else None
+        if ended and not s["packets"]:
+            s["plain"] = timing(ended[0])[2]
         for packet in reversed(ended):
             ends.append(left)
-            left = None if left is None else left - len(packet)
+            left = left - len(packet) if left is not None and s["plain"] else None
         for packet, stop in zip(ended, reversed(ends), strict=True):
             out.append((serial, s["packets"], packet, stop))
             s["packets"] += 1
@@ -153,16 +172,18 @@ def read(data: bytes | None) -> tuple[list[tuple[int, int, bytes, int | None]],
 
 
 def decode(data: bytes | None) -> tuple[bytes, dict[str, int]]:
-    """The payload of a file that encode() wrote: each packet goes where its stream and its start time put it."""
+    """The payload of a file that encode() wrote: each packet goes where its stream and its start time put it. ms: the streams' lengths together, by their last granule positions."""
     packets, count = read(data)
-    heads = {serial: HEAD.unpack(p) for serial, i, p, _ in packets if i == 0 and len(p) == HEAD.size and p[:8] == MAGIC}
-    placed = []
+    heads = {serial: HEAD.unpack(p) for serial, i, p, _ in packets if i == 0 and len(p) == HEAD.size and p.startswith(MAGIC)}
+    placed, last = [], dict.fromkeys(heads, 0)
     for serial, i, p, end in packets:
         if i and serial in heads and end is not None:
             _, _, size, k, n, _ = heads[serial]
             placed.append(((end - len(p)) // size * n + k, p))
+            last[serial] = max(last[serial], end)
     placed.sort(key=lambda x: x[0])
-    return b"".join(p for _, p in placed), count | {"packets": len(placed), "rate": next((h[1] for h in heads.values()), 0)}
+    ms = sum(end * 1000 / heads[serial][1] for serial, end in last.items() if heads[serial][1])
+    return b"".join(p for _, p in placed), count | {"packets": len(placed), "ms": int(ms)}
 
 
 def describe(payload: bytes, count: dict[str, int]) -> str:
@@ -173,7 +194,7 @@ def describe(payload: bytes, count: dict[str, int]) -> str:
     high = x >= 128
     return (
         f"streams={count['streams']};pages={count['pages']};packets={count['packets']};bad={count['bad']};lost={count['lost']};"
-        f"ms={len(x) * 1000 // max(1, count['rate'])};mean_milli={int(x.sum()) * 1000 // len(x)};energy={int(((x - 128) ** 2).sum()) // len(x)};"
+        f"ms={count['ms']};mean_milli={int(x.sum()) * 1000 // len(x)};energy={int(((x - 128) ** 2).sum()) // len(x)};"
         f"crossings={int((high[1:] != high[:-1]).sum())};peak={int(np.abs(x - 128).max())}"
     )
 
@@ -222,7 +243,7 @@ def probe(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", bytes
 
 
 def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row a packet of any Ogg column: serial number of its stream, its number there, bytes, granule position and time of its end (null if its page gives none)."""
+    """One row a packet of any Ogg column: serial number of its stream, its number there, bytes, granule position and time of its end in seconds (null if its page gives none, or its stream no rate)."""
     small_batches(df.sparkSession)
 
     def make():
@@ -231,7 +252,9 @@ def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                 found, _ = read(data)
                 if found:
                     serial, number, body, end = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), pa.int64()), pa.array(serial, pa.int64()), pa.array(number, pa.int64()), pa.array(body, pa.binary()), pa.array(end, pa.int64()), pa.array([None if e is None else e / RATE for e in end], pa.float64())], ["doc_id", "serial", "packet", "data", "granule", "end_s"])
+                    rates = {s: timing(p) for s, n, p, _ in found if n == 0}
+                    seconds = [None if e is None or (t := rates.get(s, (None,)))[0] is None else (e - t[1]) / t[0] for s, e in zip(serial, end, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(found), pa.int64()), pa.array(serial, pa.int64()), pa.array(number, pa.int64()), pa.array(body, pa.binary()), pa.array(end, pa.int64()), pa.array(seconds, pa.float64())], ["doc_id", "serial", "packet", "data", "granule", "end_s"])
 
         return step
 
