@@ -171,7 +171,7 @@ class Index:
         chunk = np.searchsorted(starts, np.flatnonzero(known), "right") - 1
         term = term[known]
         # The distinct terms of each passage, which is a chunk and the next two of its text.
-        after = [(chunk >= d) & joined[d - 1][chunk - d] for d in (1, 2)]
+        after = [(chunk >= d) & joined[d - 1][np.maximum(chunk - d, 0)] for d in (1, 2)]
         pairs = np.sort(np.concatenate([chunk, *(chunk[a] - d for d, a in enumerate(after, 1))]) * len(self.terms) + np.concatenate([term, *(term[a] for a in after)]))
         pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
         passage, term = np.divmod(pairs, len(self.terms))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_map, id_and_text, materialise, utf8
+from tallyloom.llm.common import Scratch, arrow_map, id_and_text, utf8
 from tallyloom.llm.components import components
 
 SHINGLE = 4
@@ -158,11 +158,11 @@ def _linked(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
     yield from hand_on(True)
 
 
-def _meet(rows: DataFrame, block: int) -> DataFrame:
+def _meet(kept: Scratch, rows: DataFrame, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _linked(batches, block)
 
-    return materialise(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long, block int"))
+    return kept(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long, block int"))
 
 
 def variants(fp: Column) -> Column:
@@ -176,10 +176,11 @@ def variants(fp: Column) -> Column:
     return F.transform(F.expr(f"array({', '.join(f'named_struct({chr(39)}bit{chr(39)}, {i}, {chr(39)}mask{chr(39)}, {m}L)' for i, m in enumerate(signed))})"), lambda x: F.xxhash64(x["bit"], fp.bitwiseAND(x["mask"])))
 
 
-def link(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+def link(prints: DataFrame, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(a, b): edges that join the distinct fingerprints of column fp exactly as far as links of up to DISTANCE bits do."""
+    kept = scratch or Scratch(prints.sparkSession)
     rows = prints.select(F.explode(variants(F.col("fp"))).alias("key"), "fp")
-    met = _meet(rows, block)
+    met = _meet(kept, rows, block)
     edges = met.where("block = -1").select("a", "b")
     cut = met.where("block >= 0")
     if cut.limit(1).count():
@@ -187,7 +188,7 @@ def link(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         most = cut.groupBy("key").agg(F.max("block").alias("most"))
         pairs = cut.join(most, "key").select(F.explode(F.sequence(F.lit(0), F.col("most"))).alias("other"), "key", "block", F.col("a").alias("fp"))
         # Two blocks are never cut again: a last block can hold up to a batch more than the others.
-        again = _meet(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp"), NEVER)
+        again = _meet(kept, pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp"), NEVER)
         edges = edges.unionAll(again.where("block = -1").select("a", "b"))
     return edges.distinct()
 
@@ -205,15 +206,17 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return arrow_map(rows, make, "doc_id long, text_hash long, fp long")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, component_id): the component is named by its smallest id."""
-    docs = materialise(fingerprint(df, id_col, text_col))
-    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(link(distinct))
+    kept = scratch or Scratch(df.sparkSession)
+    docs = kept(fingerprint(df, id_col, text_col))
+    distinct = kept(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(link(distinct, scratch=kept), scratch=kept)
     # Written, so that the joins are of plain exchanges, which Spark can split where one root or fingerprint holds most rows.
-    known = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    names = materialise(known.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = materialise(known.join(names, "root").select("fp", "component_id"))
+    known = kept(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    names = kept(known.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = kept(known.join(names, "root").select("fp", "component_id"))
+    kept.drop_but(docs, named)
     return docs.join(named, "fp")
 
 
@@ -224,7 +227,9 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near-duplicates: of each component one row stays, that of the smallest id (of equal ids, the least text hash)."""
-    found = materialise(dedup(df, id_col, text_col))
+    kept_files = Scratch(df.sparkSession)
+    found = kept_files(dedup(df, id_col, text_col, kept_files))
+    kept_files.drop_but(found)
     # By fingerprint for null names: those of one component without an id are told apart by it.
     name = F.coalesce(F.col("component_id"), F.col("fp"))
     best = found.groupBy(F.col("component_id").isNull().alias("unnamed"), name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("kept"))

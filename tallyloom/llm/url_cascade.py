@@ -3,7 +3,10 @@
 The cascade encodes the listed keys in a first Bloom filter, then the other keys of the corpus that it
 takes for listed in a second, then the listed keys that the second takes for others in a third, and so on
 until no key is taken wrongly. Over the corpus's complete key universe membership is then exact, and it
-is tested by looking up bits in literals: no join, no Python.
+is tested by looking up bits in literals: no join, no Python. A level is one binary literal in the plan.
+
+A list too long for one cascade is cut into slices by hash, each with its own. Tasks carry SLICES of them at
+most; if there are more, judge() reads the table once for each SLICES, each time for the keys of those.
 
 Defined results: a url that is null or has no `://` has an empty host and path; the empty host is never
 listed. Keys of equal value count once. An empty universe or list gives a cascade that allows all.
@@ -17,10 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialise
+from tallyloom.llm.common import Scratch
 
-#: Largest size of all filters of a cascade: they travel with each task. More keys are cut into slices by hash, see build().
-MAX_FILTER_BYTES = 32 << 20
+#: Largest size of a slice's first filter, in bytes; the others are smaller.
+MAX_FILTER_BYTES = 16 << 20
+#: Slices whose filters travel with a task.
+SLICES = 8
+#: Words of a filter that reach the driver as one row.
+CHUNK = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,7 +69,7 @@ class Filter:
     bits: int
     probes: int
     seed: int
-    words: str  # the filter as a comma-joined list of signed 64-bit integers
+    data: bytes  # words of 64 bits, the highest byte first
 
     def positions(self, key: Column) -> list[Column]:
         first = F.pmod(F.xxhash64(key, F.lit(2 * self.seed)), F.lit(self.bits))
@@ -70,11 +77,16 @@ class Filter:
         return [F.pmod(first + step * i, F.lit(self.bits)) for i in range(self.probes)]
 
     def may_hold(self, key: Column) -> Column:
-        held = F.split(F.lit(self.words), ",").cast("array<bigint>")  # folded to a literal when the plan is made
-        out = F.lit(True)
-        for p in self.positions(key):
-            out &= F.get(held, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p)) != 0
-        return out
+        def all_set(held: Column) -> Column:
+            out = F.lit(True)
+            for p in self.positions(key):
+                word, bit = F.shiftright(p, 6), p.bitwiseAND(63)
+                byte = F.conv(F.hex(F.substring(held, (word * 8 + 8 - F.shiftright(bit, 3)).cast("int"), F.lit(1))), 16, 10).cast("int")
+                out &= F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
+            return out
+
+        # One literal for all probes.
+        return F.get(F.transform(F.array(F.lit(bytearray(self.data))), all_set), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -83,15 +95,15 @@ class Cascade:
 
     levels: tuple[tuple[Filter, ...], ...]
 
-    def holds(self, key: Column) -> Column:
-        """Whether key is listed; exact for every key of the universe."""
-        each = [_member(x, key) for x in self.levels]
-        if len(each) == 1:
-            return each[0]
-        part = F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(len(each)))
+    def slice_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(len(self.levels)))
+
+    def holds(self, key: Column, first: int = 0, count: int | None = None) -> Column:
+        """Whether key is listed; exact for every key of the universe. With first and count for keys of those slices only."""
+        some = range(first, min(len(self.levels), first + (count or len(self.levels))))
         out = F.lit(False)
-        for i, m in enumerate(each):
-            out = F.when(part == i, m).otherwise(out)
+        for i in some:
+            out = F.when(self.slice_of(key) == i, _member(self.levels[i], key)).otherwise(out) if len(self.levels) > 1 else _member(self.levels[0], key)
         return out
 
 
@@ -111,26 +123,28 @@ def _plan(n: int, others: int, level: int) -> tuple[int, int]:
 
 
 def _fill(keys: DataFrame, bits: int, probes: int, seed: int) -> Filter:
-    """Sets bits where the data are; what reaches the driver are the words of one filter, not keys."""
-    empty = Filter(bits, probes, seed, "")
+    """Sets bits where the data are; what reaches the driver are the words of one filter as hexadecimal text, CHUNK a row, not keys."""
+    empty = Filter(bits, probes, seed, b"")
     at = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("at"))
-    words = dict(at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(_bit(F.col("at"))).alias("v")).collect())
-    return Filter(bits, probes, seed, ",".join(str(words.get(i, 0)) for i in range(bits // 64)))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(_bit(F.col("at"))).alias("v"))
+    chunks = words.groupBy(F.floor(F.col("w") / CHUNK).alias("c")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % CHUNK).cast("int").alias("i"), "v"))).alias("held"))
+    text = F.expr(f"array_join(transform(sequence(0, {CHUNK - 1}), i -> lpad(hex(coalesce(held[i], 0L)), 16, '0')), '')")
+    data = bytearray(-(-bits // (64 * CHUNK)) * CHUNK * 8)
+    for r in chunks.select("c", text.alias("words")).collect():
+        data[r.c * CHUNK * 8 : (r.c + 1) * CHUNK * 8] = bytes.fromhex(r.words)
+    return Filter(bits, probes, seed, bytes(data[: bits // 8]))
 
 
 def build(universe: DataFrame, key_col: str, listed: Column, max_bytes: int = MAX_FILTER_BYTES, level_limit: int = 64) -> Cascade:
     """The cascade of universe's keys for which listed is true (null: false).
 
-    A key that occurs both as listed and as not listed is listed. Where the filters would pass max_bytes,
-    keys are cut into slices by hash and each slice has its own cascade; a single one never passes the
-    bound, but their sum is what tasks carry, so a list too long for the cluster is refused here.
+    A key that occurs both as listed and as not listed is listed. Where the first filter would pass max_bytes,
+    keys are cut into slices by hash, as many as it takes; all filters are held by the driver.
     """
-    keys = materialise(universe.where(F.col(key_col).isNotNull()).groupBy(F.col(key_col).cast("string").alias("key")).agg(F.max(F.coalesce(listed, F.lit(False))).alias("listed")))
+    kept = Scratch(universe.sparkSession)
+    keys = kept(universe.where(F.col(key_col).isNotNull()).groupBy(F.col(key_col).cast("string").alias("key")).agg(F.max(F.coalesce(listed, F.lit(False))).alias("listed")))
     total = keys.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
-    bytes_needed = sum(x / 4 for x in _plan(max(1, total[0]), total[1], 0)[:1])
-    slices = max(1, math.ceil(bytes_needed / max_bytes))
-    if slices > 16:
-        raise ValueError(f"the list needs filters of {bytes_needed / 1e6:.0f} MB; raise max_bytes or cut the list")
+    slices = max(1, math.ceil(_plan(max(1, total[0]), total[1], 0)[0] / 8 / max_bytes))
     out = []
     for s in range(slices):
         own = keys if slices == 1 else keys.where(F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(slices)) == s)
@@ -148,6 +162,7 @@ def build(universe: DataFrame, key_col: str, listed: Column, max_bytes: int = MA
             others = (total[1] if i == 0 else n) // slices + 1
             levels.append(_fill(wrong, *_plan(n, others, i), seed=1000 * s + i))
         out.append(tuple(levels))
+    kept.drop_but()
     return Cascade(tuple(out))
 
 
@@ -155,8 +170,13 @@ def judge(df: DataFrame, rules: list[Rule], cascade: Cascade, id_col: str = "pag
     """(page_id, host, path, rule, verdict): the longest rule that fits decides, else whether the host is listed."""
     parts = df.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     host, path = F.col("host"), F.col("path")
-    rule, verdict = F.lit(None).cast("string"), F.when((host != "") & cascade.holds(host), "block").otherwise("allow")
-    for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
-        rule = F.when(r.fits(host, path), r.name).otherwise(rule)
-        verdict = F.when(r.fits(host, path), r.verdict).otherwise(verdict)
-    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    out = None
+    for first in range(0, len(cascade.levels), SLICES):
+        some = parts if len(cascade.levels) <= SLICES else parts.where(cascade.slice_of(host).between(first, first + SLICES - 1))
+        rule, verdict = F.lit(None).cast("string"), F.when((host != "") & cascade.holds(host, first, SLICES), "block").otherwise("allow")
+        for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
+            rule = F.when(r.fits(host, path), r.name).otherwise(rule)
+            verdict = F.when(r.fits(host, path), r.verdict).otherwise(verdict)
+        judged = some.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+        out = judged if out is None else out.unionAll(judged)
+    return out

@@ -49,6 +49,19 @@ def test_judge(spark):
     assert url_cascade.judge(df.where("false"), rules, made).count() == 0
 
 
+def test_more_slices_than_a_task_carries(spark, monkeypatch):
+    monkeypatch.setattr(url_cascade, "SLICES", 2)
+    hosts = [f"h{i}.example" for i in range(400)]
+    listed = set(hosts[::7])
+    urls = [f"http://{h}/a" for h in hosts] + ["http://h0.example/" + "x" * 1_000_000, "http://" + "y" * 1_000_000, "http://h0.example/a", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    made = cascade(spark, [*hosts, "y" * 1_000_000], listed, max_bytes=12)
+    assert len(made.levels) > 3
+    got = url_cascade.judge(df, [], made).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))
+    assert all((r.verdict == "block") == (r.host in listed) for r in got)
+
+
 def slow_shards(rows, limit):
     """Buckets split one bit at a time."""
     bits = {i: format(int(hashlib.md5(f"{'' if k is None else k}:{t or ''}".encode()).hexdigest()[:15], 16), "060b") for i, (k, t) in enumerate(rows)}
