@@ -89,3 +89,24 @@ def test_clashing_columns_and_empty_tables_pass_the_stages(spark):
             out = f(frame)
             assert out.columns == df.columns and out.count() <= frame.count()
     assert corpus_pipeline.secret_scan(spark, df, SF).first().text == "[secret] and so on"
+
+
+def test_odd_rows_pass_the_whole_pipeline(spark, tmp_path):
+    """Null, empty, very long and repeated texts, ids and columns."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    good = max((r.text for r in base.limit(60).collect()), key=len)
+    long = " ".join(good.split() * (200_000 // len(good.split())))
+    odd = [(None, None), (None, good + " one"), (9001, None), (9002, ""), (9003, "  "), (9004, long), (9005, good + " two three"), (9005, good + " two three"), (9006, "token=abcdefgh " * 2000)]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], base.schema)
+    base.unionAll(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in got}
+    assert len(got) == len({(r.doc_id, r.decoded_sha256) for r in got}) and len(got) > 0.5 * base.count()
+    assert kept <= {r.doc_id for r in base.collect()} | {i for i, _ in odd}
+    assert sum(r.doc_id == 9005 for r in got) <= 1
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
