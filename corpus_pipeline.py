@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import byte_bpe, decontaminate, quality_knn, secrets, simhash_dedup
-from tallyloom.llm.common import materialise
+from tallyloom.llm.common import Scratch
 from tallyloom.llm.queries import RANKS
 
 
@@ -46,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what lies between two is kept in the shared folder."""
+    """All stages over the documents of sf_dir; what lies between two is kept in the shared folder until the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = kept(stage(spark, docs, sf_dir))
+        kept.drop_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
