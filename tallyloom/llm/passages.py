@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, id_and_text, small_batches, utf8
 from tallyloom.llm.components import components
-from tallyloom.llm.vectors import mix, shingles, word_counts, word_hashes
+from tallyloom.llm.vectors import mix, same_runs, shingles, word_counts, word_hashes
 
 SHINGLE = 5
 #: Tokens of the shortest passage: those of 50 words.
@@ -89,15 +89,19 @@ def run_minima(packed: np.ndarray, least: int) -> np.ndarray:
     return np.minimum(packed[: len(packed) - (least - size)], packed[least - size :])
 
 
-def compact_windows(tokens: np.ndarray, owner: np.ndarray, function: int, least: int = LEAST) -> tuple[np.ndarray, ...]:
+def compact_windows(tokens: np.ndarray, owner: np.ndarray, function: int, least: int = LEAST, places: bool = False) -> tuple[np.ndarray, ...]:
     """(value, first, last, k) of each compact window: value is its minimum, at k; first and last are the starts of its first and last run of `least` tokens.
 
     Windows follow each other by their runs. Those of one value that follow each other are one: text in a loop
     gives one window, not one a round. Positions count from the first of all tokens; no window passes a text's end.
+
+    places: they are one only where the minimum comes round at one distance with the same tokens between, and the last
+    place is given too. What lies between the first and the last place of such a loop has the tokens of the loop, as
+    what follows the first has; so whatever is alike around some place in it is alike around one of these two.
     """
     none = np.empty(0, np.int64)
     if len(tokens) < least:
-        return np.empty(0, np.uint64), none, none, none
+        return (np.empty(0, np.uint64), none, none, none, none)[: 4 + places]
     h = ranks(tokens, function)
     low = np.uint64(max(1, int(len(tokens) - 1).bit_length()))
     # The place in the last bits parts equal values, the first of them first.
@@ -106,12 +110,20 @@ def compact_windows(tokens: np.ndarray, owner: np.ndarray, function: int, least:
     value = minima >> low
     change = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1 : len(minima)] != owner[: len(minima) - 1])])
     change[1:] |= whole[1:] != whole[:-1]
+    place = (minima & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    if places:
+        moved = np.flatnonzero(~change[1:] & whole[1:] & (place[1:] != place[:-1])) + 1
+        change[moved] = True
+        one, two = place[moved - 1], place[moved]
+        loop = np.flatnonzero((one[1:] == two[:-1]) & ((two - one)[1:] == (two - one)[:-1])) + 1
+        loop = loop[same_runs(tokens, one[loop - 1], one[loop], (two - one)[loop])]
+        change[moved[loop]] = False
     start = np.flatnonzero(change)
     end = np.append(start[1:], len(minima)) - 1
     kept = whole[start]
     start, end = start[kept], end[kept]
-    k = (minima[start] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-    return h[k], start, end, k
+    k = place[start]
+    return (h[k], start, end, k, place[end]) if places else (h[k], start, end, k)
 
 
 def joint_windows(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -136,14 +148,19 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _windows_of(texts: list[bytes | None], node: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Joint windows of some texts: of each key the first, without a hub; the key's others with that first one as hub, and then the first again, as its own hub."""
+    """Joint windows of some texts. Of a key that several texts have, the first goes without a hub, and all with that first one as hub; of a key of one text all go without a hub, however often it is there."""
     tokens, owner = _tokens(texts)
     if not len(tokens):
         return
     begin = np.searchsorted(owner, np.arange(len(texts)))
     size = np.diff(np.append(begin, len(owner)))
     for p in range(PAIRS):
-        a, b, start, _, k = joint_windows(compact_windows(tokens, owner, 2 * p), compact_windows(tokens, owner, 2 * p + 1))
+        *one, last = compact_windows(tokens, owner, 2 * p, places=True)
+        two = compact_windows(tokens, owner, 2 * p + 1)
+        a, b, start, _, k = joint_windows(one, two)
+        last = joint_windows((*one[:3], last), two)[4]
+        more = np.flatnonzero(last != k)
+        a, b, start, k = (np.append(x, y[more]) for x, y in ((a, a), (b, b), (start, start), (k, last)))
         text = owner[start]
         key = mix(mix(a + np.uint64(p)) + b).view(np.int64)
         span = (k - begin[text]) << 32 | size[text]
@@ -155,11 +172,13 @@ def _windows_of(texts: list[bytes | None], node: np.ndarray) -> Iterator[pa.Reco
         order[several] = some[np.lexsort((span[some], own[some], key[some]))]
         key, own, span = key[order], own[order], span[order]
         new = np.append(True, key[1:] != key[:-1])[: len(key)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(own[new]), pa.array(span[new]), pa.nulls(int(new.sum()), pa.int64()), pa.nulls(int(new.sum()), pa.int64())], ["key", "node", "span", "hub", "hub_span"])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         shared = np.zeros(len(key), bool)
         shared[head[own != own[head]]] = True
         shared = shared[head]
+        out = new | ~shared
+        none = pa.nulls(int(out.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(own[out]), pa.array(span[out]), none, none], ["key", "node", "span", "hub", "hub_span"])
         if shared.any():
             yield _rows(key[shared], own[shared], span[shared], own[head][shared], span[head][shared])
 
@@ -167,7 +186,7 @@ def _windows_of(texts: list[bytes | None], node: np.ndarray) -> Iterator[pa.Reco
 def windows(rows: DataFrame) -> DataFrame:
     """(key, node, span, hub, hub_span) of the joint windows of (node, text): span packs the minimum's place and the number of the text's tokens.
 
-    hub is null for one window a key of the texts hashed together, which is to meet others'; see _windows_of.
+    hub is null for windows that are to meet those of texts hashed elsewhere; see _windows_of.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +316,7 @@ def may_be_alike(one: np.ndarray, two: np.ndarray, jaccard: float) -> np.ndarray
 def forest(node: np.ndarray, at: np.ndarray, tokens: list[np.ndarray], joined: list[tuple[int, int]] = (), least: int = LEAST) -> list[tuple[int, int]]:
     """Pairs of rows that, with those joined already, link windows just as far as alike ones of different nodes do. at: where the common minimum is among a window's tokens.
 
-    Windows of equal tokens are alike and stand for each other. Alike passages have J / (1 + J) of both sides' tokens in
+    Windows of equal tokens of two nodes are alike and stand for each other; those of one node each have to be linked. Alike passages have J / (1 + J) of both sides' tokens in
     common, and a side has as many as any run of it at least: only windows with so many tokens in common are tried,
     and those are counted by an index of the tokens that two windows have. Of these the largest shares that runs
     have inside the other window have to allow alike sets. Each two are looked at once, if they aren't linked by then.
@@ -311,7 +330,7 @@ def forest(node: np.ndarray, at: np.ndarray, tokens: list[np.ndarray], joined: l
     others: dict[int, int] = {}  # for such a row one of equal content and another node
     for i, t in enumerate(tokens):
         first = same.setdefault((int(at[i]), t.tobytes()), i)
-        if first == i:
+        if first == i or node[i] == node[first] and _find(root, i) != _find(root, first):
             stands.append(i)
             continue
         if node[i] != node[first]:
@@ -341,6 +360,7 @@ def forest(node: np.ndarray, at: np.ndarray, tokens: list[np.ndarray], joined: l
     smallest = np.array([least_sets(tokens[i], least) if w else min(len(tokens[i]), least) for i, w in zip(stands, twice.tolist(), strict=True)])
     needed = JACCARD / (1 + JACCARD) * smallest - 1e-9
     intervals = _spread(least, far)
+    owners, doubled = node[stands], np.array([i in others for i in stands])
     # (p, q) of what has enough in common, a few thousand at a time.
     held: list[np.ndarray] = []
     size = 0
@@ -351,7 +371,7 @@ def forest(node: np.ndarray, at: np.ndarray, tokens: list[np.ndarray], joined: l
         held.clear()
         size = 0
         kin = np.array([_find(root, i) for i in stands])
-        pairs = pairs[:, kin[pairs[0]] != kin[pairs[1]]]
+        pairs = pairs[:, (kin[pairs[0]] != kin[pairs[1]]) & ((owners[pairs[0]] != owners[pairs[1]]) | doubled[pairs].any(0))]
         for a in range(0, pairs.shape[1], PIECE):
             p, q = pairs[:, a : a + PIECE]
             one, two = grid[p], grid[q]

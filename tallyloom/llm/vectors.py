@@ -78,3 +78,10 @@ def shingles(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
         h = h * np.uint64(_BASE) + words[i : i + n]
     at = np.flatnonzero(owner[:n] == owner[size - 1 :])
     return mix(h[at]), at
+
+
+def same_runs(values: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the runs of so many values from places one and from later places two are the same, told by 64-bit sums."""
+    power = _power("base", _BASE, len(values))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power)])
+    return (sums[one + size] - sums[one]) * power[two - one] == sums[two + size] - sums[two]

@@ -302,3 +302,74 @@ def test_one_very_long_text_and_its_parts(spark):
     rows = [(0, " ".join(words)), (1, " ".join(words[31_000:31_200])), (2, " ".join(say(rng, 30) + words[59_900:]))]
     got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].passages == "31000:31200,59900:60000" and got[1].class_id == got[2].class_id == 0 and got[2].passages == "30:130"
+
+
+def variants(rng, passage, n):
+    """Texts that each have two words of the passage changed, far apart: not alike to it, but of most runs' minima."""
+    out = []
+    for i in range(n):
+        out.append(list(passage))
+        for at in (rng.randrange(5, 20), rng.randrange(30, 45)):
+            out[-1][at] = f"new{i}x{at}"
+    return out
+
+
+def test_a_key_that_one_text_has_often_meets_with_each_place(spark):
+    rng = random.Random(12)
+    here, there = [], []
+    for i in range(8):
+        passage = say(rng, 50)
+        before = [w for v in variants(rng, passage, 24) for w in v + say(rng, 30)]
+        here.append((2 * i, " ".join(say(rng, 40) + before + passage + say(rng, 30))))
+        there.append((2 * i + 1, " ".join(say(rng, 25) + passage + say(rng, 25))))
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(here + there, 2), "doc_id long, text string")
+    assert [len(p) for p in apart.rdd.glom().collect()] == [8, 8]
+    got = {r.doc_id: r for r in passages.repeated(apart).collect()}
+    for i, text in here:
+        a, b = map(int, got[i + 1].passages.split(":"))
+        assert got[i + 1].class_id == i and a <= 25 and b >= 75
+        n = len(text.split())
+        spans = [tuple(map(int, p.split(":"))) for p in got[i].passages.split(",")]
+        assert any(a <= n - 80 and b >= n - 30 for a, b in spans)
+
+
+def test_places_of_a_minimum_have_their_windows():
+    rng = np.random.default_rng(4)
+    for least in (4, 6, 46):
+        parts = [rng.integers(0, 9, 60), np.tile(rng.integers(0, 99, 7), 60), rng.integers(0, 30, 150)]
+        owner = np.repeat([0, 1, 2], [len(p) for p in parts])
+        tokens = passages.mix(np.concatenate(parts).astype(np.uint64))
+        h = passages.ranks(tokens, 3)
+        value, first, last, k, end = passages.compact_windows(tokens, owner, 3, least, places=True)
+        place = {s: q for a, b, *q in zip(first.tolist(), last.tolist(), k.tolist(), end.tolist()) for s in range(a, b + 1)}
+        for s in range(len(tokens) - least + 1):
+            if owner[s] != owner[s + least - 1]:
+                assert s not in place
+                continue
+            want, (a, b) = s + int(h[s : s + least].argmin()), place[s]
+            # Between two places is a loop.
+            assert want in (a, b) or a < want < b and any((tokens[a : b - d] == tokens[a + d : b]).all() for d in range(1, least + 1) if a + d < b)
+        assert least < 7 or sum(a < 480 and b > 60 for a, b in zip(first.tolist(), last.tolist())) < 10
+
+
+def test_one_minimum_over_many_records_is_met_at_each():
+    rng = random.Random(13)
+    lost = 0
+    for _ in range(60):
+        head = say(rng, 40)
+        records = [head + say(rng, 12) for _ in range(40)]
+        one = " ".join(w for r in records for w in r)
+        two = " ".join(say(rng, 20) + records[20][30:] + records[21][:30] + say(rng, 20))
+        x, y = (passages._tokens([t.encode()])[0] for t in (one, two))
+        at = [{(r["key"], r["span"]) for b in passages._windows_of([t.encode()], np.array([0])) for r in b.to_pylist()} for t in (one, two)]
+        lost += not any(passages.verify_pair(x, y, [(s, z)]) for k, s in at[0] for q, z in at[1] if k == q)
+    assert lost == 0
+
+
+def test_equal_windows_of_one_text_are_each_linked():
+    rng = random.Random(14)
+    passage = say(rng, 110)
+    other = [*passage[:90], "new", *passage[91:]]
+    tokens = [passages._tokens([" ".join(t).encode()])[0][5:96] for t in (passage, passage, other)]
+    out = passages.forest(np.array([1, 1, 2]), np.array([45, 45, 45]), tokens)
+    assert sorted(map(sorted, out)) == [[0, 2], [1, 2]]
