@@ -57,6 +57,8 @@ BLOCK = 512
 DENSE = 1 << 20
 #: Pairs of windows whose tokens are compared at a time.
 PIECE = 256
+#: Sums of tokens kept while two texts are verified, about.
+KNOWN = 1 << 20
 #: Texts verified with one other at a time.
 GUESTS = 256
 #: Bytes of texts hashed at a time, about.
@@ -289,7 +291,8 @@ def least_sets(tokens: np.ndarray, least: int) -> int:
     before = np.full(n, -1)
     again = np.flatnonzero(tokens[order][1:] == tokens[order][:-1])
     before[order[again + 1]] = order[again]
-    return min(int((before[a : a + least] < a).sum()) for a in range(n - least + 1))
+    runs = np.lib.stride_tricks.sliding_window_view(before, least)
+    return int((runs < np.arange(len(runs))[:, None]).sum(1).min())
 
 
 @lru_cache(2)
@@ -302,10 +305,10 @@ def _spread(least: int, far: int) -> tuple[np.ndarray, np.ndarray]:
 
 def best_shares(inside: np.ndarray, intervals: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The largest share of any of the intervals, for each row: 1 for what is inside, 0 for what isn't, much less beyond a text's ends."""
-    sums = np.zeros((len(inside), inside.shape[1] + 1), np.float32)
-    np.cumsum(inside, axis=1, out=sums[:, 1:])
+    sums = np.zeros((inside.shape[1] + 1, len(inside)), np.float32)
+    np.cumsum(inside.T, axis=0, out=sums[1:])
     a, b = intervals
-    return ((sums[:, b + 1] - sums[:, a]) / (b - a + 1).astype(np.float32)).max(1)
+    return ((sums[b + 1] - sums[a]) / (b - a + 1).astype(np.float32)[:, None]).max(0)
 
 
 def may_be_alike(one: np.ndarray, two: np.ndarray, jaccard: float) -> np.ndarray:
@@ -345,10 +348,15 @@ def forest(node: np.ndarray, at: np.ndarray, tokens: list[np.ndarray], joined: l
     token, window = np.divmod(pairs, n)
     often = np.bincount(token)[token] > 1
     token, window = token[often], window[often]
-    token = np.unique(token, return_inverse=True)[1]
+    shared, token = np.unique(token, return_inverse=True)
     begin = np.searchsorted(token, np.arange(int(token.max(initial=-1)) + 2))
     by_window = np.argsort(window, kind="stable")
     mine, cut = token[by_window], np.searchsorted(window[by_window], np.arange(n + 1))
+    # Which shared tokens a window has; the last column, which none has, is for all other tokens.
+    has = np.zeros((n, len(shared) + 1), bool)
+    has[window, token] = True
+    column = np.full(int(ids.max(initial=-1)) + 2, len(shared))
+    column[shared] = np.arange(len(shared))
     # All windows with their minima in one column; -1: beyond the text's ends.
     far = least - 1
     grid = np.full((n, 2 * far + 1), -1, np.int16 if ids.max(initial=0) < 32_000 else np.int32)
@@ -374,13 +382,12 @@ def forest(node: np.ndarray, at: np.ndarray, tokens: list[np.ndarray], joined: l
         pairs = pairs[:, (kin[pairs[0]] != kin[pairs[1]]) & ((owners[pairs[0]] != owners[pairs[1]]) | doubled[pairs].any(0))]
         for a in range(0, pairs.shape[1], PIECE):
             p, q = pairs[:, a : a + PIECE]
-            one, two = grid[p], grid[q]
-            equal = (one[:, :, None] == two[:, None, :]) & (one >= 0)[:, :, None]
             fits = twice[p] | twice[q]
             near = np.flatnonzero(~fits)
-            for axis, g in ((2, one), (1, two)):  # either side must have J of some run inside the other
-                shares = best_shares(np.where(g[near] < 0, np.float32(-1000), equal[near].any(axis).astype(np.float32)), intervals)
-                if axis == 2:
+            for own, other in ((p, q), (q, p)):  # either side must have J of some run inside the other
+                g = grid[own[near]]
+                shares = best_shares(np.where(g < 0, np.float32(-1000), has[other[near][:, None], column[g]].astype(np.float32)), intervals)
+                if own is p:
                     enough = shares >= JACCARD - 1e-4
                     near, first = near[enough], shares[enough]
             fits[near[may_be_alike(first, shares, JACCARD)]] = True
@@ -393,9 +400,8 @@ def forest(node: np.ndarray, at: np.ndarray, tokens: list[np.ndarray], joined: l
                     out.append((i, j))
 
     if n * len(begin) <= DENSE:  # all counts at once
-        has = np.zeros((n, len(begin)), np.float32)
-        has[window, token] = 1
-        held.append(np.stack(np.nonzero(np.triu(has @ has.T >= needed[:, None] + needed[None, :] - 1e-3, 1))))
+        ones = has.astype(np.float32)
+        held.append(np.stack(np.nonzero(np.triu(ones @ ones.T >= needed[:, None] + needed[None, :] - 1e-3, 1))))
         settle()
         return out
     for p in range(n - 1):
@@ -497,9 +503,15 @@ def _grow(inside: np.ndarray, at: int, share: float, sums: np.ndarray | None = N
     return (lo + int(own[0]), lo + int(own[-1])) if len(own) else (at, at)
 
 
+def _from_none(worth: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(worth) + 1)
+    np.cumsum(worth, out=out[1:])
+    return out
+
+
 def _sums(inside: np.ndarray, share: float) -> np.ndarray:
     """Sums of what tokens are worth, from none to all."""
-    return np.append(0.0, np.cumsum(inside - share))
+    return _from_none(inside - share)
 
 
 def _flags(n: int, ids: np.ndarray) -> np.ndarray:
@@ -508,30 +520,32 @@ def _flags(n: int, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _reach(sums: np.ndarray, at: int) -> tuple[int, int]:
+def _bounds(worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _reach looks positions up in: of the sums of what tokens are worth, the least up to each place and the largest from it on, both with their signs turned, so that they rise."""
+    sums = -_from_none(worth)
+    return np.maximum.accumulate(sums), np.minimum.accumulate(sums[::-1])[::-1]
+
+
+def _reach(bounds: tuple[np.ndarray, np.ndarray], at: int) -> tuple[int, int]:
     """First and last position of all intervals around at whose sum isn't negative; (at, at - 1) if there are none."""
-    lows, highs = sums[: at + 1], sums[at + 1 :]
-    left, right = np.flatnonzero(lows <= highs.max() + 1e-9), np.flatnonzero(highs >= lows.min() - 1e-9)
-    return (int(left[0]), at + int(right[-1])) if len(left) and len(right) else (at, at - 1)
+    low, high = bounds
+    least, most = low[at], high[at + 1]
+    if most > least + 1e-9:
+        return at, at - 1
+    return int(low.searchsorted(most - 1e-9)), int(high.searchsorted(least + 1e-9, "right")) - 2
 
 
 def _around(weight: np.ndarray, at: int) -> tuple[int, int]:
     """The interval around at with the largest sum."""
-    sums = np.append(0.0, np.cumsum(weight))
+    sums = _from_none(weight)
     return int(sums[: at + 1].argmin()), at + int(sums[at + 1 :].argmax())
 
 
 def _brings(where: np.ndarray, value: np.ndarray, outside: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each of falling ends the largest sum of the first tokens, of their value for those with where >= end and what is outside for others."""
-    order = np.argsort(-where, kind="stable")
-    bound = np.searchsorted(-where[order], -ends, "right")
-    sums, out, done = np.cumsum(outside), np.empty(len(ends)), 0
-    for i, n in enumerate(bound.tolist()):
-        for q in order[done:n].tolist():
-            sums[q:] += value[q] - outside[q]
-        out[i] = sums.max() if n != done or not i else out[i - 1]
-        done = n
-    return out
+    if not len(where):
+        return np.zeros(len(ends))
+    return np.cumsum(np.where(where >= ends[:, None], value, outside), axis=1).max(1)
 
 
 def _search(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard: float) -> Iterator[tuple[int, int, int, int]]:
@@ -593,19 +607,29 @@ def _search(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard:
                 yield a, int(part[o]), int(c[o]), int(ends[c[o]]) + int(sums[o, ends[c[o]] :].argmax()) - 1
 
 
-def _may_hold(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard: float) -> bool:
-    """Whether intervals around kx and ky have large enough shares of the other side's tokens; True where a token repeats."""
-    n = int(max(x.max(), y.max())) + 1
+@lru_cache(2)
+def _inverse_lengths(least: int) -> np.ndarray:
+    """1 / length of intervals by how far they go to the left and to the right, up to 2 * least; 0 where they are shorter than least."""
+    length = np.arange(2 * least + 1)[:, None] + np.arange(2 * least + 1)[None, :] + 1
+    return np.where(length >= least, 1 / length, 0).astype(np.float32)
+
+
+def _may_hold(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard: float, n: int) -> bool:
+    """Whether intervals around kx and ky, no further than 2 * least from them, have large enough shares of the other side's tokens, which are below n; True where a token repeats."""
     in_x, in_y = _flags(n, x), _flags(n, y)
-    if in_x.sum() < len(x) or in_y.sum() < len(y):
+    if np.count_nonzero(in_x) < len(x) or np.count_nonzero(in_y) < len(y):
         return True
-    shares = []
+    shares: list[np.float32] = []
     for inside, k in ((in_y[x], kx), (in_x[y], ky)):
-        sums = np.append(0, np.cumsum(inside)).astype(np.float32)
-        length = np.arange(k + 1, len(inside) + 1)[None, :] - np.arange(k + 1)[:, None]
-        share = (sums[None, k + 1 :] - sums[: k + 1, None]) / length
-        shares.append(float(np.where(length >= least, share, 0).max()))
-    return bool(may_be_alike(np.float32(shares[0]), np.float32(shares[1]), jaccard))
+        # Without repeated tokens both sides have as many inside; J of the shortest run is needed.
+        if not shares and np.count_nonzero(inside) < jaccard * least - 1e-3:
+            return False
+        sums = np.zeros(len(inside) + 1, np.float32)
+        np.cumsum(inside, out=sums[1:])
+        shares.append(((sums[k + 1 :] - sums[: k + 1, None]) * _inverse_lengths(least)[k::-1, : len(inside) - k]).max())
+        if shares[-1] < jaccard - 1e-3:
+            return False
+    return bool(may_be_alike(shares[0], shares[1], jaccard))
 
 
 def verify_pair(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int]], least: int = LEAST, jaccard: float = JACCARD, longest: bool = True) -> list[tuple[int, int, int, int]]:
@@ -623,10 +647,24 @@ def verify_pair(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int]], leas
     # A token outside weighs on its text once, however often it is there.
     out_x, out_y = (-jaccard / np.bincount(z, minlength=n)[z] for z in (x, y))
 
-    def sums(inside: np.ndarray, outside: np.ndarray) -> np.ndarray:
-        return np.append(0.0, np.cumsum(np.where(inside, 1 - jaccard, outside)))
-
-    sums_x = sums(_flags(n, y)[x], out_x)
+    bounds_x = _bounds(np.where(_flags(n, y)[x], 1 - jaccard, out_x))
+    # Most minima of two texts are narrowed down to the same few intervals: of those the bounds are kept.
+    known: dict[tuple[bool, int, int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+    room = KNOWN
+
+    def bounds(turned: bool, a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of x's tokens a to b by what y's c to d hold; turned: of y's by what x's hold."""
+        nonlocal room
+        out = known.get((turned, a, b, c, d))
+        if out is None:
+            u, v = x[a : b + 1], y[c : d + 1]
+            out = _bounds(np.where(_flags(n, u)[v], 1 - jaccard, out_y[c : d + 1]) if turned else np.where(_flags(n, v)[u], 1 - jaccard, out_x[a : b + 1]))
+            room -= len(out[0])
+            if room < 0:
+                known.clear()
+                room = KNOWN - len(out[0])
+            known[turned, a, b, c, d] = out
+        return out
 
     def alike(a: int, b: int, c: int, d: int) -> bool:
         if d - c + 1 < least or b - a + 1 < least or (a, b, c, d) in failed:
@@ -639,17 +677,15 @@ def verify_pair(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int]], leas
         return False
 
     def narrowed(kx: int, ky: int) -> tuple[int, int, int, int] | None:
-        a, b = _reach(sums_x, kx)
+        a, b = _reach(bounds_x, kx)
         c, d = 0, len(y) - 1
         while b - a + 1 >= least:
             last = a, b, c, d
-            inside = _flags(n, x[a : b + 1])[y[c : d + 1]]
-            e, f = _reach(sums(inside, out_y[c : d + 1]), ky - c)
+            e, f = _reach(bounds(True, a, b, c, d), ky - c)
             c, d = c + e, c + f
             if d - c + 1 < least:
                 return None
-            inside = _flags(n, y[c : d + 1])[x[a : b + 1]]
-            e, f = _reach(sums(inside, out_x[a : b + 1]), kx - a)
+            e, f = _reach(bounds(False, a, b, c, d), kx - a)
             a, b = a + e, a + f
             if last == (a, b, c, d):
                 return last
@@ -661,9 +697,7 @@ def verify_pair(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int]], leas
         far = 2 * least
         e0, g0 = max(0, k - far), max(0, m - far)
         p, q = u[e0 : k + far + 1], v[g0 : m + far + 1]
-        local = np.unique(np.concatenate([p, q]), return_inverse=True)[1]
-        p, q = local[: len(p)], local[len(p) :]
-        if min(len(p), len(q)) >= least and not _may_hold(p, q, k - e0, m - g0, least, jaccard):
+        if min(len(p), len(q)) >= least and not _may_hold(p, q, k - e0, m - g0, least, jaccard, n):
             return
         shares = [jaccard, 2 * jaccard / (1 + jaccard)]
         for i, j in ((1, 1), (0, 0)) if longest else ():
@@ -682,6 +716,8 @@ def verify_pair(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int]], leas
             yield a + e, a + f, c + g, c + h
         # All intervals as far as 2 * least from the minimum.
         if min(len(p), len(q)) >= least:
+            local = np.unique(np.concatenate([p, q]), return_inverse=True)[1]
+            p, q = local[: len(p)], local[len(p) :]
             for o in _search(p, q, k - e0, m - g0, least, jaccard):
                 yield a + e0 + o[0], a + e0 + o[1], c + g0 + o[2], c + g0 + o[3]
 
@@ -735,7 +771,10 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
         merged: list[list[int]] = []
         for batch in batches:
-            hosts, kind, guests, spans, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), utf8(batch.column(5))
+            hosts, kind, guests, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), utf8(batch.column(5))
+            spans = batch.column(4)
+            ends = np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            both = list(zip(*(c.to_pylist() for c in spans.flatten().flatten()), strict=True))
             for lo, hi in _chunks(texts):
                 tokens, owner = _tokens(texts[lo:hi])
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
@@ -745,7 +784,7 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
                         close()
                         host, x = hosts[i], y.copy()
                         continue
-                    found = verify_pair(x, y, sorted((s["h"], s["g"]) for s in spans[i]))
+                    found = verify_pair(x, y, sorted(both[ends[i - 1] if i else 0 : ends[i]]))
                     own.extend(p[:2] for p in found)
                     out.extend((guests[i], host, p[2], p[3]) for p in found)
                     if len(out) >= 4096:

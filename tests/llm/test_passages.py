@@ -373,3 +373,46 @@ def test_equal_windows_of_one_text_are_each_linked():
     tokens = [passages._tokens([" ".join(t).encode()])[0][5:96] for t in (passage, passage, other)]
     out = passages.forest(np.array([1, 1, 2]), np.array([45, 45, 45]), tokens)
     assert sorted(map(sorted, out)) == [[0, 2], [1, 2]]
+
+
+def test_reach_is_brute_force():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40):
+        for _ in range(60):
+            worth = np.where(rng.random(n) < 0.7, 0.2, -0.8 / rng.integers(1, 4, n))
+            at = int(rng.integers(0, n))
+            good = [(a, b) for a in range(at + 1) for b in range(at, n) if worth[a : b + 1].sum() >= -1e-9]
+            want = (min(a for a, _ in good), max(b for _, b in good)) if good else (at, at - 1)
+            assert passages._reach(passages._bounds(worth), at) == want
+
+
+def test_may_hold_is_brute_force():
+    rng = random.Random(15)
+    least, met = 6, [0, 0]
+    for _ in range(600):
+        x = rng.sample(range(40), rng.randrange(6, 22))
+        y = [t for t in x if rng.random() < 0.9] + rng.sample(range(40, 60), rng.randrange(4))
+        rng.shuffle(y)
+        kx, ky = rng.randrange(len(x)), rng.randrange(len(y))
+        x, y = x[: kx + 2 * least + 1], y[: ky + 2 * least + 1]
+        x, kx = x[max(0, kx - 2 * least) :], min(kx, 2 * least)
+        y, ky = y[max(0, ky - 2 * least) :], min(ky, 2 * least)
+        best = []
+        for u, v, k in ((x, y, kx), (y, x, ky)):
+            best.append(max((sum(t in v for t in u[a : b + 1]) / (b - a + 1) for a in range(k + 1) for b in range(max(k, a + least - 1), len(u))), default=0))
+        want = min(best) > 0 and 1 / best[0] + 1 / best[1] <= 1 + 1 / 0.8 + 1e-4
+        assert min(len(x), len(y)) < least or passages._may_hold(np.array(x), np.array(y), kx, ky, least, 0.8, 60) == want
+        met[want] += 1
+    assert min(met) > 50
+
+
+def test_minima_between_the_same_ends_are_narrowed_down_once(monkeypatch):
+    """Two texts with many minima in common in intervals that could be alike, but aren't: no sums over them for each minimum."""
+    x = np.concatenate([np.append(np.arange(40 * i, 40 * i + 40), 10_000 + np.arange(11 * i, 11 * i + 11)) for i in range(30)]).astype(np.uint64)
+    y = np.where(x >= 10_000, x + np.uint64(10_000), x)
+    spans = [(k << 32, k << 32) for k in np.flatnonzero(x < 10_000).tolist()]
+    long = []
+    flags = passages._flags
+    monkeypatch.setattr(passages, "_flags", lambda n, ids: long.append(len(ids) > 4 * passages.LEAST + 1) or flags(n, ids))
+    assert passages.verify_pair(x, y, spans) == []
+    assert sum(long) < len(spans)
