@@ -78,7 +78,7 @@ def counts(texts: list[bytes | None]) -> np.ndarray:
         again = (h[gap:] == h[:-gap]) & (owner[gap:] == owner[:-gap])
         out[:, TERMS - 4 + gap] = np.bincount(owner[gap:][again], minlength=len(texts)) / np.maximum(1, total)
     out[:, TERMS - 1] = (total > 0) * 0.01
-    return np.sqrt(out)
+    return np.sqrt(out, out=out)
 
 
 class Model:
@@ -108,25 +108,39 @@ class Model:
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         for a in range(0, len(texts), ROWS):
-            terms = counts(texts[a : a + ROWS])[:, self.used]
-            x = self._unit(self._unit(terms * self.weight) @ self.axes)
-            near = np.round(x @ self.vectors.T, 9)  # so that equal texts are equally near wherever they are in a block
-            k = min(NEIGHBOURS, near.shape[1])
-            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
-            votes = np.where(near >= least[:, None], np.maximum(near, 0), 0)
-            total = votes.sum(1)
-            voted = (total > 0) & (terms.any(1))
-            out[a : a + ROWS][voted] = np.clip((votes @ self.labels)[voted] / total[voted], 0, 1)
+            self._vote(texts[a : a + ROWS], out[a : a + ROWS])
         return out
 
+    def _vote(self, texts: list[bytes | None], out: np.ndarray) -> None:
+        """Puts the scores of a block into out. Its matrices, some of them 12 MB, are changed in place and gone before the next block's."""
+        terms = counts(texts)[:, self.used]
+        some = terms.any(1)
+        terms *= self.weight
+        terms /= np.maximum(np.sqrt(np.einsum("ij,ij->i", terms, terms)), 1e-12)[:, None]
+        x = self._unit(terms @ self.axes)
+        del terms
+        near = x @ self.vectors.T
+        np.round(near, 9, out=near)  # so that equal texts are equally near wherever they are in a block
+        k = min(NEIGHBOURS, near.shape[1])
+        least = np.concatenate([np.partition(part, near.shape[1] - k, axis=1)[:, near.shape[1] - k] for part in np.array_split(near, 8)])
+        near[near < least[:, None]] = 0
+        np.maximum(near, 0, out=near)
+        total = near.sum(1)
+        voted = (total > 0) & some
+        out[voted] = np.clip((near @ self.labels)[voted] / total[voted], 0, 1)
+
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | float:
     """Learns from labelled rows that aren't held out; where a label has no row, only the share of label 1."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~in_holdout(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    total, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    known.persist()  # ids and marks alone; read three times, so that each id's marks are brought together once
+    try:
+        total, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+        picked = {r.doc_id: r.y for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
+    finally:
+        known.unpersist()
     prior = ones / total if total else 0.5
-    picked = {r.doc_id: r.y for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
     if not picked:
         return prior
 

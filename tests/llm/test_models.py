@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -155,3 +156,33 @@ def test_votes_are_the_nearest(quality_rows):
         votes = [(max(s, 0), v) for s, v in zip(row, y) if s >= least]
         want.append(sum(s * v for s, v in votes) / sum(s for s, _ in votes))
     assert np.allclose(model.score(texts[200:]), want, atol=1e-6)
+
+
+def test_scores_of_a_block_take_little_memory():
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(32, 127, 1000, np.uint8)) for _ in range(quality_knn.ROWS)]
+    model = quality_knn.Model(quality_knn.counts(texts[:300]), np.arange(300) % 2, 0.5)
+    model.vectors, model.labels = np.tile(model.vectors, (10, 1)), np.tile(model.labels, 10)
+    want = np.concatenate([model.score([t]) for t in texts])
+    tracemalloc.start()
+    got = model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    block = quality_knn.ROWS * max(len(model.vectors), quality_knn.TERMS) * 8
+    assert peak < 3.2 * block and np.allclose(got, want, atol=1e-6)
+
+
+def test_labels_are_read_once(spark, quality_rows):
+    rows, labels = quality_rows
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").mapInArrow(count, "doc_id long, quality int, toxic int")
+    model = quality_knn.train(df, marks)
+    assert len(model.labels) == sum(not held(i) for i in range(300)) and read.value == len(labels)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
