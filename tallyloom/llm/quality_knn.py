@@ -85,12 +85,14 @@ class Model:
     def __init__(self, terms: np.ndarray, labels: np.ndarray, prior: float):
         self.prior = float(prior)
         self.labels = labels.astype(np.float64)
-        present = (terms > 0).sum(0)
+        present = np.count_nonzero(terms, axis=0)
         weight = np.log((1 + len(terms)) / (1 + present)) + 0.25
         weight[-3:] = REPEAT
         self.used = np.flatnonzero(present)  # terms that no labelled text has lie outside the space
         self.weight = weight[self.used]
-        x = self._unit(terms[:, self.used] * self.weight)
+        x = np.empty((len(terms), len(self.used)))
+        for a in range(0, len(terms), ROWS):  # so that of the whole matrix, some 60 MB, there is no second copy
+            x[a : a + ROWS] = self._unit(terms[a : a + ROWS, self.used] * self.weight)
         # The widest axes by subspace iteration from a fixed start.
         k = min(DIMENSIONS, len(self.used), len(x))
         axes = np.linalg.qr(np.random.default_rng(0).normal(size=(len(self.used), min(2 * k, len(self.used), len(x)))))[0]
@@ -148,16 +150,23 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.float32).tobytes() for x in counts(utf8(part.column(1)))], pa.binary())], ["doc_id", "terms"])
+                terms = [x.astype(np.float32) for x in counts(utf8(part.column(1)))]
+                places = [np.flatnonzero(x).astype(np.uint16) for x in terms]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([at.tobytes() for at in places], pa.binary()), pa.array([x[at].tobytes() for x, at in zip(terms, places)], pa.binary())], ["doc_id", "places", "shares"])
 
         return step
 
-    rows = arrow_map(id_and_text(df, id_col, text_col).where(F.col("doc_id").isin(sorted(picked))), make, "doc_id long, terms binary").collect()
-    seen = sorted({(r.doc_id, bytes(r.terms)) for r in rows})  # repeated ids with other texts: each counts
-    y = np.array([picked[i] for i, _ in seen])
+    # Only the terms that a text has reach the driver: a text lacks most, and all of 2 * SAMPLE texts were 32 MB, held several times by the JVM and Python.
+    rows = arrow_map(id_and_text(df, id_col, text_col).where(F.col("doc_id").isin(sorted(picked))), make, "doc_id long, places binary, shares binary").collect()
+    seen = sorted({(r.doc_id, bytes(r.places), bytes(r.shares)) for r in rows})  # repeated ids with other texts: each counts
+    del rows
+    y = np.array([picked[i] for i, _, _ in seen])
     if not len(y) or y.min() == y.max():
         return prior
-    return Model(np.stack([np.frombuffer(t, np.float32) for _, t in seen]).astype(np.float64), y, prior)
+    terms = np.zeros((len(seen), TERMS), np.float32)
+    for own, (_, places, shares) in zip(terms, seen):
+        own[np.frombuffer(places, np.uint16)] = np.frombuffer(shares, np.float32)
+    return Model(terms, y, prior)
 
 
 def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -186,3 +186,34 @@ def test_labels_are_read_once(spark, quality_rows):
     model = quality_knn.train(df, marks)
     assert len(model.labels) == sum(not held(i) for i in range(300)) and read.value == len(labels)
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_only_terms_that_texts_have_reach_the_driver(spark, quality_rows, monkeypatch):
+    rows, labels = quality_rows
+    df, marks = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    brought = []
+
+    def collect(self, plain=type(df).collect):
+        got = plain(self)
+        brought.append(sum(len(x) for r in got for x in r if isinstance(x, bytes | bytearray)))
+        return got
+
+    monkeypatch.setattr(type(df), "collect", collect)
+    model = quality_knn.train(df, marks)
+    learned = [r for r in rows if not held(r[0])]
+    terms = quality_knn.counts([r[1].encode() for r in learned]).astype(np.float32)
+    assert len(learned) == len(model.labels) and 0 < sum(brought) <= 6 * np.count_nonzero(terms) < terms.nbytes / 4
+    marked = {i: y for i, y, _ in labels}
+    y = np.array([0.5 if r[0] == 5 else marked[r[0]] for r in learned]) >= 0.5
+    whole = quality_knn.Model(terms.astype(np.float64), y, model.prior)
+    assert np.array_equal(whole.vectors, model.vectors) and np.array_equal(whole.axes, model.axes) and np.array_equal(whole.labels, model.labels)
+
+
+def test_model_holds_its_matrix_once():
+    rng = np.random.default_rng(8)
+    terms = rng.random((2000, quality_knn.TERMS), np.float32)
+    tracemalloc.start()
+    quality_knn.Model(terms, np.arange(2000) % 2, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * terms.size * 8
