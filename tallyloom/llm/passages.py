@@ -65,6 +65,8 @@ GUESTS = 256
 CHARS = 1 << 20
 #: Nodes that a task remembers, so that copies are read once; when full it begins anew.
 SEEN = 1 << 20
+#: Links between texts up to which one task finds what they join; more go through rounds.
+EDGES = 200_000
 WINDOW = "key long, node long, span long, hub long, hub_span long"
 
 
@@ -220,59 +222,53 @@ def windows(rows: DataFrame) -> DataFrame:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by key, node and span: those with a hub as they are; of the others those whose key two nodes have, with the key's first as hub."""
-    key, pending = None, []  # the last key, and its rows as long as one node has it
-    hub = None  # the key's first row
-    last: tuple[int, int, int] | None = None
+    """Of windows sorted by key: those with a hub as they are; of the others those whose key two nodes have, with the key's first by node and span as hub.
 
+    The last key of a batch waits for the next one. Of those without a hub a key has a row for each piece of texts
+    hashed together, or the places in one text, so that few wait.
+    """
+
+    def solve(key: np.ndarray, node: np.ndarray, span: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = key[1:] == key[:-1]
+        again = np.zeros(len(key), bool)
+        again[1:] = same
+        again[:-1] |= same
+        key, node, span = key[again], node[again], span[again]
+        if not len(key):
+            return
+        order = np.lexsort((span, node, key))
+        key, node, span = key[order], node[order], span[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (span[1:] != span[:-1]))
+        key, node, span = key[new], node[new], span[new]
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(cut, len(key)))
+        head = np.repeat(cut, size)
+        shared = np.repeat(np.logical_or.reduceat(node != node[head], cut), size)
+        if shared.any():
+            head = head[shared]
+            yield _rows(key[shared], node[shared], span[shared], node[head], span[head])
+
+    held = (np.empty(0, np.int64),) * 3
     for batch in batches:
         with_hub = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
         if with_hub.any():
             yield batch.filter(pa.array(with_hub))
-        k, node, span = (batch.column(c).to_numpy(zero_copy_only=False)[~with_hub] for c in range(3))
-        if not len(k):
-            continue
-        same = np.append(False, (k[1:] == k[:-1]) & (node[1:] == node[:-1]) & (span[1:] == span[:-1]))
-        same[0] = last == (int(k[0]), int(node[0]), int(span[0]))
-        last = int(k[-1]), int(node[-1]), int(span[-1])
-        k, node, span = k[~same], node[~same], span[~same]
-        if not len(k):
-            continue
-        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        head = np.repeat(cut, np.diff(np.append(cut, len(k))))
-        heads, head_spans = node[head], span[head]
-        size = int(cut[1]) if len(cut) > 1 else len(k)  # rows of the first key
-        extra: list[tuple[int, int, int, int, int]] = []
-        if key == k[0]:
-            heads[:size], head_spans[:size] = hub
-        other = node != heads
-        shared = np.repeat(np.logical_or.reduceat(other, cut), np.diff(np.append(cut, len(k))))
-        if key == k[0]:
-            if not pending:  # two nodes had it already
-                shared[:size] = True
-            elif shared[0]:
-                extra = [(key, n, s, *hub) for n, s in pending]
-                pending = []
-        if shared.any():
-            yield _rows(k[shared], node[shared], span[shared], heads[shared], head_spans[shared])
-        if extra:
-            yield _rows(*np.array(extra, np.int64).T)
-        c = int(cut[-1])
-        if key != k[-1]:
-            key, hub, pending = int(k[-1]), (int(heads[c]), int(head_spans[c])), []
-        elif not pending:
-            continue
-        if not shared[-1]:
-            pending += list(zip(node[c:].tolist(), span[c:].tolist(), strict=True))
+        held = tuple(np.append(x, batch.column(c).to_numpy(zero_copy_only=False)[~with_hub]) for c, x in enumerate(held))
+        if len(held[0]):
+            c = int(held[0].searchsorted(held[0][-1]))
+            yield from solve(*(x[:c] for x in held))
+            held = tuple(x[c:] for x in held)
+    yield from solve(*held)
 
 
 def meet(rows: DataFrame) -> DataFrame:
     """(key, node, span, hub, hub_span): windows of keys that two nodes have, each with its hub, hubs with themselves.
 
     Windows that have a hub from their own task stay spread by their node; of each key just the hubs come together.
+    They are sorted by the key alone, as Spark has a faster sort for one number.
     """
     by = F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node"))
-    return rows.repartition(by).sortWithinPartitions("key", "node", "span").mapInArrow(_met, WINDOW)
+    return rows.repartition(by).sortWithinPartitions("key").mapInArrow(_met, WINDOW)
 
 
 def _find(root: list[int], i: int) -> int:
@@ -287,11 +283,7 @@ def least_sets(tokens: np.ndarray, least: int) -> int:
     n = len(tokens)
     if n < least or len(np.unique(tokens)) == n:
         return min(n, least)
-    order = np.argsort(tokens, kind="stable")
-    before = np.full(n, -1)
-    again = np.flatnonzero(tokens[order][1:] == tokens[order][:-1])
-    before[order[again + 1]] = order[again]
-    runs = np.lib.stride_tricks.sliding_window_view(before, least)
+    runs = np.lib.stride_tricks.sliding_window_view(_previous(tokens), least)
     return int((runs < np.arange(len(runs))[:, None]).sum(1).min())
 
 
@@ -548,6 +540,16 @@ def _brings(where: np.ndarray, value: np.ndarray, outside: np.ndarray, ends: np.
     return np.cumsum(np.where(where >= ends[:, None], value, outside), axis=1).max(1)
 
 
+def _previous(x: np.ndarray) -> np.ndarray:
+    """The place of the last equal value before each, or -1."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    out = np.full(len(x), -1)
+    again = (ordered[1:] == ordered[:-1]).nonzero()[0]
+    out[order[again + 1]] = order[again]
+    return out
+
+
 def _search(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard: float) -> Iterator[tuple[int, int, int, int]]:
     """Intervals around kx and ky that may be alike, the best d of each x interval: all x intervals are tried that can be part of a pair.
 
@@ -583,15 +585,20 @@ def _search(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard:
     most = np.maximum.accumulate((by_b - jaccard * tokens[kx + 1 :])[::-1])[::-1]
     begins = np.arange(min(kx, len(x) - least) + 1)
     begins = begins[by_a[begins] + jaccard * tokens[begins] + most[np.maximum(kx, begins + least - 1) - kx] >= -1e-9]
-    for a in begins[::-1].tolist():
-        fresh = np.zeros(len(x) - a, bool)
-        fresh[np.unique(x[a:], return_index=True)[1]] = True
-        own, common = np.cumsum(fresh), np.cumsum(fresh & within[a:])
-        b = np.arange(max(kx, a + least - 1), len(x))
-        # Ends that aren't inside only make a longer interval less alike.
-        good = (common[b - a] >= jaccard * own[b - a] - 1e-9) & ((b == a + least - 1) | (within[a] & within[b]))
-        good &= by_a[a] + by_b[b - kx] >= jaccard * own[b - a] - 1e-9
-        b = b[good]
+    if not len(begins):
+        return
+    # All starts at once, the last first: which tokens are the first of their kind from a start on, and what is alike enough at each end.
+    begins, e = begins[::-1], int(begins[0])
+    place = np.arange(e, len(x))
+    fresh = (_previous(x)[None, e:] < begins[:, None]) & (place >= begins[:, None])
+    own, common = fresh.cumsum(1), (fresh & within[None, e:]).cumsum(1)
+    least_own = jaccard * own - 1e-9
+    # Ends that aren't inside only make a longer interval less alike.
+    good = (common >= least_own) & ((place == begins[:, None] + least - 1) | (within[begins][:, None] & within[None, e:]))
+    good &= place >= np.maximum(kx, begins + least - 1)[:, None]
+    good &= by_a[begins][:, None] + np.concatenate([np.zeros(max(0, kx - e)), by_b[max(0, e - kx) :]]) >= least_own
+    for r in good.any(1).nonzero()[0].tolist():
+        a, own_a, b = int(begins[r]), own[r], place[good[r]]
         for i in range(0, len(b), step):
             part = b[i : i + step]
             inside = (before >= a)[None, :] | (after[None, :] <= part[:, None])
@@ -600,7 +607,9 @@ def _search(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard:
             high = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]
             gain = high[:, ends] - sums[:, starts]
             c = gain.argmax(1)
-            spare = gain[np.arange(len(part)), c] - jaccard * own[part - a]
+            spare = gain[np.arange(len(part)), c] - jaccard * own_a[part - e]
+            if spare.max() < -1e-9:
+                continue
             for o in np.argsort(-spare):
                 if spare[o] < -1e-9:
                     break
@@ -614,36 +623,54 @@ def _inverse_lengths(least: int) -> np.ndarray:
     return np.where(length >= least, 1 / length, 0).astype(np.float32)
 
 
+@lru_cache(4 * LEAST)
+def _counts(n: int) -> np.ndarray:
+    return np.arange(n)
+
+
 def _may_hold(x: np.ndarray, y: np.ndarray, kx: int, ky: int, least: int, jaccard: float, n: int) -> bool:
     """Whether intervals around kx and ky, no further than 2 * least from them, have large enough shares of the other side's tokens, which are below n; True where a token repeats."""
     in_x, in_y = _flags(n, x), _flags(n, y)
     if np.count_nonzero(in_x) < len(x) or np.count_nonzero(in_y) < len(y):
         return True
-    shares: list[np.float32] = []
-    for inside, k in ((in_y[x], kx), (in_x[y], ky)):
-        # Without repeated tokens both sides have as many inside; J of the shortest run is needed.
-        if not shares and np.count_nonzero(inside) < jaccard * least - 1e-3:
-            return False
+    inside_x = in_y[x]
+    # Without repeated tokens both sides have as many inside; J of the shortest run is needed.
+    if np.count_nonzero(inside_x) < jaccard * least - 1e-3:
+        return False
+    sides: list[tuple[np.ndarray, int]] = []
+    for inside, k in ((inside_x, kx), (in_x[y], ky)):
         sums = np.zeros(len(inside) + 1, np.float32)
-        np.cumsum(inside, out=sums[1:])
-        shares.append(((sums[k + 1 :] - sums[: k + 1, None]) * _inverse_lengths(least)[k::-1, : len(inside) - k]).max())
-        if shares[-1] < jaccard - 1e-3:
+        inside.cumsum(out=sums[1:])
+        sides.append((sums, k))
+        # Whether any interval has a share of J: of each start the best end that is far enough.
+        worth = sums - np.float32(jaccard - 2e-3) * _counts(len(sums))
+        best = np.maximum.accumulate(worth[::-1])[::-1]
+        starts = min(k, len(inside) - least) + 1
+        if (best[np.maximum(_counts(starts) + least, k + 1)] < worth[:starts]).all():
             return False
-    return bool(may_be_alike(shares[0], shares[1], jaccard))
+    shares = [((sums[k + 1 :] - sums[: k + 1, None]) * _inverse_lengths(least)[k::-1, : len(sums) - 1 - k]).max() for sums, k in sides]
+    return bool(min(shares) >= jaccard - 1e-3 and may_be_alike(shares[0], shares[1], jaccard))
 
 
-def verify_pair(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int]], least: int = LEAST, jaccard: float = JACCARD, longest: bool = True) -> list[tuple[int, int, int, int]]:
+def verify_pair(x: np.ndarray, y: np.ndarray, spans: list[tuple[int, int]], least: int = LEAST, jaccard: float = JACCARD, longest: bool = True, named: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
     """The alike passages (first and last token on each side) of two texts, from their windows with a minimum in common.
 
     Of two alike passages each has a share of J of its own tokens on the other side, whatever their lengths. What can
     hold such passages around the common minimum is narrowed down on either side in turn; nothing is lost by that.
     Of what is left the longest intervals are tried first, with the shares that several ratios of lengths need, then
     the best intervals, and then all that lie within 2 * least of the common minimum. longest False: only the last.
+    named: the distinct tokens of x in order, and the number of each of x's tokens among them, if they are at hand.
     """
+    if min(len(x), len(y)) < least:
+        return []
     found: list[tuple[int, int, int, int]] = []
     failed: set[tuple[int, int, int, int]] = set()
-    names, ids = np.unique(np.concatenate([x, y]), return_inverse=True)
-    n, x, y = len(names), ids[: len(x)], ids[len(x) :]
+    names, x = named or np.unique(x, return_inverse=True)
+    ids = np.minimum(names.searchsorted(y), len(names) - 1)
+    new = (names[ids] != y).nonzero()[0]
+    others, ids[new] = np.unique(y[new], return_inverse=True)
+    ids[new] += len(names)
+    n, y = len(names) + len(others), ids
     # A token outside weighs on its text once, however often it is there.
     out_x, out_y = (-jaccard / np.bincount(z, minlength=n)[z] for z in (x, y))
 
@@ -753,7 +780,7 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     rows = hosts.unionByName(guests).repartition("host", "part").sortWithinPartitions("host", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, x, own = None, np.empty(0, np.uint64), []
+        host, x, named, own = None, np.empty(0, np.uint64), None, []
         out: list[tuple] = []
 
         def close() -> None:
@@ -783,8 +810,9 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
                     if kind[i] == 0:
                         close()
                         host, x = hosts[i], y.copy()
+                        named = np.unique(x, return_inverse=True)
                         continue
-                    found = verify_pair(x, y, sorted(both[ends[i - 1] if i else 0 : ends[i]]))
+                    found = verify_pair(x, y, sorted(both[ends[i - 1] if i else 0 : ends[i]]), named=named)
                     own.extend(p[:2] for p in found)
                     out.extend((guests[i], host, p[2], p[3]) for p in found)
                     if len(out) >= 4096:
@@ -842,7 +870,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held = kept(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
     first = kept(verify(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_span").alias("sa"), F.col("span").alias("sb")), held))
     # A local hub's window is listed twice, but only where three nodes have its key. Windows in passages that link their texts have those texts' root as link; groups that aren't of one link are looked at whole.
-    star = kept(components(first.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), scratch=kept))
+    star = kept(components(first.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch=kept, small=EDGES))
     state = star.join(joined_parts(first.select("node", "first", "last").distinct()), "node")
     inside = F.exists("parts", lambda p: (F.shiftright("span", 32) >= p["first"]) & (F.shiftright("span", 32) <= p["last"]))
     rows = kept(met.join(state, "node", "left").select("key", "node", "span", F.when(inside, F.col("root")).alias("link")))
@@ -855,7 +883,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     whole = nodes.where(f"rows > 1 and tokens >= {LEAST}").selectExpr("node", "0L as first", "tokens - 1 as last")
     parts = joined_parts(found.select("node", "first", "last").unionAll(whole).distinct())
     more = second.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    roots = components(star.selectExpr("node as a", "root as b").unionAll(more).distinct(), scratch=kept)
+    roots = components(star.selectExpr("node as a", "root as b").unionAll(more), scratch=kept, small=EDGES)
     # Written, so that the joins are of plain exchanges, which Spark can split where one root or text holds most rows.
     known = kept(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = kept(known.groupBy("root").agg(F.min("first_id").alias("class_id")))

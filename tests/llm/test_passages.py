@@ -206,6 +206,20 @@ def sets_of(n, pairs):
     return [passages._find(root, i) for i in range(n)]
 
 
+def test_order_within_a_key_does_not_matter():
+    rng = np.random.default_rng(8)
+    rows = np.stack([np.sort(rng.integers(-40, 40, 400)), rng.integers(-5, 5, 400), rng.integers(0, 3, 400)], 1)
+    out = []
+    for _ in range(3):
+        mixed = rows[np.lexsort((rng.random(len(rows)), rows[:, 0]))]
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in mixed.T), *(pa.nulls(len(mixed), pa.int64()),) * 2], ["key", "node", "span", "hub", "hub_span"])
+        for size in (1, 7, 400):
+            out.append([tuple(r.values()) for b in passages._met(batch.slice(i, size) for i in range(0, len(mixed), size)) for r in b.to_pylist()])
+    kinds = {int(k): sorted({(int(n), int(s)) for q, n, s in rows if q == k}) for k in rows[:, 0]}
+    assert out[0] == [(k, n, s, *own[0]) for k, own in kinds.items() if len({n for n, _ in own}) > 1 for n, s in own]
+    assert all(x == out[0] for x in out)
+
+
 def test_forest_is_brute_force():
     rng = random.Random(7)
     texts = copies(rng, 40) + [say(rng, 20) + t for t in copies(rng, 5)]

@@ -90,6 +90,21 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_solved_without_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [tuple(x) for x in rng.integers(-150, 150, (170, 2)).tolist()] + [(i, i + 1) for i in range(1000, 1080)] + [(None, 3), (7, 7)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    want = {(r.node, r.root) for r in materialise(components.components(edges)).collect()}
+    written = []
+    write = components.Scratch.__call__
+    monkeypatch.setattr(components.Scratch, "__call__", lambda self, df: written.append(df) or write(self, df))
+    for small in (1000, 7):  # 7: more are left, so that rounds follow
+        written.clear()
+        assert {(r.node, r.root) for r in components.components(edges, small=small).collect()} == want
+        assert (len(written) == 2) == (small == 1000)
+    assert components.components(edges.where("false"), small=9).count() == 0
+
+
 def test_forest_spans_each_part():
     rng = np.random.default_rng(3)
     prints = np.unique(rng.integers(0, 1 << 12, 500, dtype=np.uint64))
